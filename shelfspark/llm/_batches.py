@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+import shelfspark
 
 #: Texts are worked on in runs of about this many bytes, so that memory stays bounded.
 RUN_BYTES = 2 << 20
@@ -44,13 +50,40 @@ def strings(texts: pa.Array) -> list[str]:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the executors share and go on from the written rows."""
-    context = df.sparkSession.sparkContext
+    """Write ``df`` as a table in the checkpoint folder that the executors share and go on from the written rows."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that :func:`saved` wrote and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each Spark context, in case it isn't installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfspark_shipped", False):
+        return
+    top = Path(shelfspark.__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="shelfspark-"), "shelfspark_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    context.addPyFile(path)
+    context._shelfspark_shipped = True
 
 
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under fixed names, so that other columns never clash."""
+    ship(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm._batches import flat, runs, two
+from shelfspark.llm._batches import flat, runs, ship, two
 
 #: Language families by ISO 639-1 code.  A code that is not listed is a family of its own.
 FAMILIES = {
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """
     rows = learnable(docs, text_col, lang_col).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) != 2)
+    ship(docs.sparkSession)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel()
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.25, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more."""
+    ship(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

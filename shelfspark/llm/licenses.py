@@ -91,10 +91,10 @@ SINGLE = (
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)", ("clause", "original bsd")),
     ("bsd", "redistribution and use in source and binary forms", ("redistribution and use",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby",)),
-    ("isc", "permission to use copy modify and or distribute this software", ("permission to use",)),
-    ("zlib", "this software is provided as is without any express or implied warranty", ("provided as", "provided 'as")),
-    ("apache-2.0", "www apache org licenses license 2 0", ("apache.org",)),
-    ("gpl", "www gnu org licenses", ("gnu.org",)),
+    ("isc", "permission to use,? copy modify and or distribute this software", ("permission to use",)),
+    ("zlib", "this software is provided as is without any express or implied warranty", ("provided",)),
+    ("apache-2.0", "www apache org licenses license 2 0", ("apache",)),
+    ("gpl", "www gnu org licenses", ("gnu",)),
     ("gpl", "free software foundation", ("free software foundation",)),
     ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", ("cc0", "cc zero", "commons zero")),
     ("cc", "creative commons(?: licen[sc]e)?", ("creative commons",)),
@@ -105,8 +105,8 @@ SINGLE = (
     ("reserved", "some rights reserved", ("some rights",)),
     ("copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}", ("copyright",)),
     ("copyright", r"copyrighted(?: by| material| work)", ("copyrighted",)),
-    ("warranty", "without warranties or conditions of any kind", ("without warrant",)),
-    ("warranty", "without warranty of any kind", ("without warrant",)),
+    ("warranty", "without warranties or conditions of any kind", ("without",)),
+    ("warranty", "without warranty of any kind", ("without",)),
     ("spdx", "spdx license identifier", ("spdx",)),
 )
 
@@ -150,17 +150,24 @@ class Scanner:
         by_key: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
             for k in r.keywords:
-                by_key.setdefault(k.split()[0], []).append(i)
+                by_key.setdefault(max(k.split(), key=len), []).append(i)  # of several words the longest, since what separates them varies
         self.automaton = ahocorasick.Automaton()
         for k, which in by_key.items():
-            self.automaton.add_word(k, tuple(which))
+            self.automaton.add_word(k, (len(k), tuple(which)))
         self.automaton.make_automaton()
 
+    def due(self, low: str) -> list[int]:
+        """The rules that have a keyword in the text as a whole word."""
+        found = set()
+        for end, (n, which) in self.automaton.iter(low):
+            if not (end + 1 < len(low) and _word(low[end + 1])) and not (end >= n and _word(low[end - n])):
+                found.update(which)
+        return sorted(found)
+
     def detections(self, low: str) -> tuple[list[tuple[int, int, Rule]], list[tuple[int, int, Rule]]]:
         """Base places, and the method's detections after suppression, of a lower-cased text; as start, end, rule."""
-        due = sorted({i for _, which in self.automaton.iter(low) for i in which})
         base, found = [], []
-        for i in due:
+        for i in self.due(low):
             rule = self.rules[i]
             (base if rule.base else found).extend((m.start(), m.end(), rule) for m in self.compiled[i].finditer(low))
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
@@ -192,6 +199,10 @@ def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
     return False
 
 
+def _word(c: str) -> bool:
+    return c > "\x7f" or "a" <= c <= "z" or "0" <= c <= "9"
+
+
 def lower_ascii(text: str) -> str:
     return text.translate(_LOWER)
 

@@ -20,56 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from shelfspark.llm._batches import runs, two
+from shelfspark.llm.bpe import RUN_BYTES, BatchBPE
 
 CAPACITY = 2048
 END_ID = 1
-#: Words kept with their ids; beyond that the store is begun anew.
-KNOWN_WORDS = 200_000
-
-
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, with each distinct word encoded once.
-
-    The tokenizer never joins what ASCII white space separates, so a text's ids are its words' ids in a row.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sizes, self.store = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the bounds of each text's."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = parts.flatten().dictionary_encode()
-        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.place) > KNOWN_WORDS:
-            self.clear()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            base = len(self.place)
-            self.place.update(zip(new, range(base, base + len(new)), strict=True))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.store = np.concatenate([self.store, np.fromiter((i for x in ids for i in x), np.uint32)])
-        begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        own = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[index] if len(distinct) else np.zeros(0, np.int64)
-        sizes = self.sizes[own]
-        out = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.store[np.repeat(begin[own] - out[:-1], sizes) + np.arange(out[-1])]
-        counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        return ids, out[np.concatenate([[0], np.cumsum(counts)])]
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -84,18 +41,12 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     heapq.heapify(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        over = len(a) + len(b) - k
-        if over <= 0:
-            new = a + b
-        else:  # a's smallest windows meet b's largest in opposite order; the others stay alone
-            new = a[: len(a) - over] + b[over:] if over < len(b) else a[: len(a) - over]
-            new += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[len(a) - over :], reversed(b[:over]), strict=True)]
+        over = max(0, len(a) + len(b) - k)
+        # the largest windows of one meet empty ones of the other; a's smallest meet b's smallest in opposite order
+        x, y = len(a) - over, len(b) - over
+        new = a[:x] + b[:y] + [(p[0] + q[0], p[1] + q[1]) for p, q in zip(a[x:], reversed(b[y:]), strict=True)]
         new.sort(key=lambda x: -x[0])
-        low = new[-1][0] if len(new) == k else 0
-        if len(new) == k and low:  # only differences matter, yet sums are kept to test the capacity
-            spread = new[0][0] - low
-        else:
-            spread = new[0][0]
+        spread = new[0][0] - (new[-1][0] if len(new) == k else 0)
         heapq.heappush(heap, (-spread, turn, new))
         turn += 1
     return [items for _, items in heap[0][2]] if heap else []
@@ -119,7 +70,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, sequence = WordEncoder(tokenizer), TaskContext.get().partitionId() << 36
+        bpe, sequence = BatchBPE(tokenizer), TaskContext.get().partitionId() << 36
         kept: list[tuple] = []
         out: list[list] = [[], [], [], [], [], [], []]
 
@@ -144,8 +95,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                 sequence += 1
             kept.clear()
 
-        for batch in runs(batches):
-            ids, bounds = encode(batch.column("text"))
+        for batch in runs(batches, budget=RUN_BYTES):
+            ids, bounds = bpe.encode([x or "" for x in batch.column("text").to_pylist()])
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                 n, at = len(own), 0

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm._batches import flat, runs, two
+from shelfspark.llm._batches import flat, runs, ship, two
 
 BITS = 18
+#: The probability of the highest grade from which a document is kept.
+LEAST = 0.35
 SHAPES = 4096  # the last places of the table hold shape tokens
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -137,6 +139,7 @@ def fit(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", i
     ``rows_per_grade`` bounds the sample: from each grade that many rows are expected, chosen by a hash of the id.
     """
     rows = rated.select(rated[id_col].cast("long").alias("doc_id"), rated[text_col].cast("string").alias("text"), rated[grade_col].cast("int").alias("grade")).where("text is not null and grade is not null")
+    ship(rated.sparkSession)
     counts = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not counts or max(counts) == 0:
         return OrdinalModel(np.zeros(1 << BITS), np.array([30.0]))
@@ -168,8 +171,9 @@ def rate(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_c
     return two(docs, id_col, text_col).mapInArrow(work, "doc_id long, expected_grade double, tail_prob double, grade int")
 
 
-def keep_good(docs: DataFrame, model: OrdinalModel, *, least: float = 0.35, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: OrdinalModel, *, least: float = LEAST, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose probability of the highest grade is ``least`` or more."""
+    ship(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
