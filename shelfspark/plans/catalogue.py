@@ -1 +1,457 @@
-"""Catalogue queries on the driver's tables."""
+"""Catalogue queries on the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from shelfspark import model
+from shelfspark.functions import identifiers as ident
+from shelfspark.operators import catalog, search
+from shelfspark.plans.registry import query, table
+
+Row = DataFrame
+
+
+@query("catalog_page", """
+with f as (
+  select doc_id, source, lang, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as rn, count(*) over (partition by source) as n_volumes
+  from documents where contains(lower(lang), 'en') and not contains(lower(source), 'src3')
+    and len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'thor'))) > 0)
+select doc_id, source, lang, n_chars, n_volumes from f where rn = 1 order by n_chars desc, doc_id limit 24
+""")
+def catalog_page(spark: SparkSession, d: str) -> Row:
+    """Field grammar, prefix word, one card a work (here a source), order and page."""
+    keys = [F.col("n_chars").desc(), F.col("doc_id").asc()]
+    q = catalog.CatalogQuery("thor lang:en -source:src3", ("text",), order=keys, work=F.col("source"))
+    return q.run(table(spark, d, "documents")).select("doc_id", "source", "lang", "n_chars", "n_volumes")
+
+
+@query("catalog_total_groups", "select count(distinct source) as groups, count(*) as n from documents where contains(lower(lang), 'fr')")
+def catalog_total_groups(spark: SparkSession, d: str) -> Row:
+    q = catalog.CatalogQuery("lang:fr")
+    return q.filtered(table(spark, d, "documents")).agg(F.count_distinct("source").alias("groups"), F.count("*").alias("n"))
+
+
+@query("catalog_page_two", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 24 offset 24")
+def catalog_page_two(spark: SparkSession, d: str) -> Row:
+    return catalog.page(table(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 2)
+
+
+@query("filter_by_ids", "select o_orderkey, o_totalprice from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity = 50)")
+def filter_by_ids(spark: SparkSession, d: str) -> Row:
+    ids = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@query("filter_ingest_day", "select event_id, event_type from events where ts >= (select date_trunc('day', min(ts)) from events) and ts < (select date_trunc('day', min(ts)) + interval 1 day from events)")
+def filter_ingest_day(spark: SparkSession, d: str) -> Row:
+    events = table(spark, d, "events")
+    day = events.agg(F.date_trunc("day", F.min("ts")).alias("day"))  # one row
+    return events.crossJoin(F.broadcast(day)).where("ts >= day and ts < day + interval 1 day").select("event_id", "event_type")
+
+
+@query("filter_rating_multi", "select d.doc_id, l.quality from documents d left join labels l on d.doc_id = l.doc_id where l.quality is null or l.quality in (0, 3)")
+def filter_rating_multi(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.where(catalog.rating_condition(F.col("quality"), [0, 3])).select("doc_id", "quality")
+
+
+@query("filter_exclude_marked", "select d.doc_id from documents d left join labels l on d.doc_id = l.doc_id where l.toxic is distinct from 1")
+def filter_exclude_marked(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.where(model.ne_true(F.col("toxic") == 1)).select("doc_id")
+
+
+@query("filter_guest_visibility", """
+select o_orderkey from orders o join customer c on o.o_custkey = c.c_custkey
+where o_orderstatus <> 'F' and c_mktsegment <> 'BUILDING' and c_nationkey not in (select n_nationkey from nation where n_regionkey = 1)
+""")
+def filter_guest_visibility(spark: SparkSession, d: str) -> Row:
+    docs = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    docs = docs.select(F.col("o_orderkey").alias("_id"), (F.col("o_orderstatus") == "F").alias("nsfw"), F.col("c_custkey").alias("obra"), F.col("c_nationkey").alias("coleccion"))
+    works = table(spark, d, "customer").select(F.col("c_custkey").alias("_id"), (F.col("c_mktsegment") == "BUILDING").alias("nsfw"))
+    series = table(spark, d, "nation").select(F.col("n_nationkey").alias("_id"), (F.col("n_regionkey") == 1).alias("nsfw"))
+    return catalog.visible_to_guests(docs, works, series).select(F.col("_id").alias("o_orderkey"))
+
+
+@query("filter_field_exists_and_negation", "select doc_id from documents where lang is not null and lang <> '' and not contains(lower(source), 'src1')")
+def filter_field_exists_and_negation(spark: SparkSession, d: str) -> Row:
+    return catalog.CatalogQuery("lang:* -source:src1").filtered(table(spark, d, "documents")).select("doc_id")
+
+
+@query("filter_identifier_prefix", "select p_partkey from part where starts_with(lpad(cast(p_partkey as varchar), 12, '0'), '00000000001')")
+def filter_identifier_prefix(spark: SparkSession, d: str) -> Row:
+    c = F.concat_ws("-", F.substring(F.lpad(F.col("p_partkey").cast("string"), 12, "0"), 1, 6), F.substring(F.lpad(F.col("p_partkey").cast("string"), 12, "0"), 7, 6))
+    return table(spark, d, "part").where(catalog.identifier_condition("0000-0000 001", [c])).select("p_partkey")
+
+
+@query("filter_substring", "select doc_id from documents where contains(lower(text), 'license')")
+def filter_substring(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "documents").where(catalog.substring_condition("License", [F.col("text")])).select("doc_id")
+
+
+@query("filter_activity", "select event_id, user_id from events where event_type = 'error' and user_id % 7 = 3 and ts between timestamp '2024-01-01' and timestamp '2024-06-30'")
+def filter_activity(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "events").where("event_type = 'error' and user_id % 7 = 3 and ts between timestamp '2024-01-01' and timestamp '2024-06-30'")
+    return rows.select("event_id", "user_id")
+
+
+@query("filter_stale_side_car", "select o_orderkey from orders o left join (select l_orderkey, max(l_shipdate) as base from lineitem where l_quantity > 45 group by 1) l on o_orderkey = l_orderkey where o_orderdate is not null and (base is null or o_orderdate > base)")
+def filter_stale_side_car(spark: SparkSession, d: str) -> Row:
+    base = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("base"))
+    return table(spark, d, "orders").join(base, "o_orderkey", "left").where("o_orderdate is not null and (base is null or o_orderdate > base)").select("o_orderkey")
+
+
+@query("count_by_type", "select coalesce(event_type, 'sin_tipo') as event_type, count(*) as n from events group by 1")
+def count_by_type(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "events").groupBy(F.coalesce("event_type", F.lit("sin_tipo")).alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query("mastheads", "select coalesce(nullif(p_brand, ''), p_name) as key, min(p_name) as title, count(*) as n from part group by 1 order by n desc, title")
+def mastheads(spark: SparkSession, d: str) -> Row:
+    key = F.coalesce(F.nullif("p_brand", F.lit("")), "p_name").alias("key")
+    return table(spark, d, "part").groupBy(key).agg(F.min("p_name").alias("title"), F.count("*").alias("n")).orderBy(F.desc("n"), "title")
+
+
+@query("codes_with_descriptions", "select s_nationkey as code, n_name as description, count(*) as n from supplier left join nation on s_nationkey = n_nationkey group by 1, 2")
+def codes_with_descriptions(spark: SparkSession, d: str) -> Row:
+    n = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("code")).agg(F.count("*").alias("n"))
+    return n.join(table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("description")), "code", "left").select("code", "description", "n")
+
+
+@query("defect_counters", """
+select count(*) as total, count(*) filter (where quality is null) as unrated, count(*) filter (where toxic = 1) as marked, count(*) filter (where text is null or text = '') as no_text,
+ count(*) filter (where n_chars < 100) as short, count(*) filter (where lang is null or lang = '') as no_lang, count(*) filter (where quality = 0 and toxic = 1) as both_bad
+from documents d left join labels l on d.doc_id = l.doc_id
+""")
+def defect_counters(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    n = lambda name, c: F.count_if(c).alias(name)
+    return rows.agg(F.count("*").alias("total"), n("unrated", F.col("quality").isNull()), n("marked", F.col("toxic") == 1), n("no_text", model.absent(F.col("text"))), n("short", F.col("n_chars") < 100), n("no_lang", model.absent(F.col("lang"))), n("both_bad", (F.col("quality") == 0) & (F.col("toxic") == 1)))
+
+
+_BUCKETS = "case when n = 1 then '1' when n = 2 then '2' when n = 3 then '3' when n = 4 then '4' when n <= 10 then '5-10' when n <= 50 then '11-50' else '51+' end"
+
+
+@query("multiplicity_histogram", f"select {_BUCKETS} as bucket, count(*) as keys, cast(sum(n) as bigint) as rows_held from (select l_suppkey, l_partkey, count(*) as n from lineitem group by 1, 2) group by 1")
+def multiplicity_histogram(spark: SparkSession, d: str) -> Row:
+    n = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    return n.groupBy(F.expr(_BUCKETS).alias("bucket")).agg(F.count("*").alias("keys"), F.sum("n").alias("rows_held"))
+
+
+@query("suspicious_keys", "select l_partkey, count(*) as n, string_agg(distinct l_returnflag, ',' order by l_returnflag) as flags from lineitem group by 1 having count(*) > 4 order by n desc, l_partkey limit 25")
+def suspicious_keys(spark: SparkSession, d: str) -> Row:
+    g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
+    return g.where("n > 4").orderBy(F.desc("n"), "l_partkey").limit(25)
+
+
+@query("duplicate_hashes", "select sha256(text) as hash, count(*) as n, count(*) - 1 as surplus, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def duplicate_hashes(spark: SparkSession, d: str) -> Row:
+    g = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return g.where("n > 1").select("hash", "n", (F.col("n") - 1).alias("surplus"), "first_id")
+
+
+@query("shelf_rollup", "select r_name as area, n_name as shelf, count(*) as n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
+def shelf_rollup(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.rollup(F.col("r_name").alias("area"), F.col("n_name").alias("shelf")).agg(F.count("*").alias("n"))
+
+
+@query("shelves_per_area", "select n_regionkey as area, string_agg(distinct n_name, ',' order by n_name) as shelves from nation group by 1")
+def shelves_per_area(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("area")).agg(F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("shelves"))
+
+
+@query("involvement_by_role", """
+select person, count(distinct doc) as total, count(distinct doc) filter (where role = 'author') as as_author, count(distinct doc) filter (where role = 'other') as as_other from (
+ select l_orderkey as doc, l_suppkey as person, 'author' as role from lineitem where l_linenumber = 1 union all select l_orderkey, l_suppkey, 'other' from lineitem where l_linenumber > 1) group by 1
+""")
+def involvement_by_role(spark: SparkSession, d: str) -> Row:
+    role = F.when(F.col("l_linenumber") == 1, "author").otherwise("other")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("person"), role.alias("role")).groupBy("doc", "person").agg(F.max((F.col("role") == "author").cast("int")).alias("a"), F.max((F.col("role") == "other").cast("int")).alias("o"))
+    return rows.groupBy("person").agg(F.count("*").alias("total"), F.sum("a").alias("as_author"), F.sum("o").alias("as_other"))
+
+
+@query("covers_of_collection", """
+with r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rn from lineitem),
+k as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by rn) as k from r where rn <= 6 and l_returnflag <> 'A')
+select m.collection, m.members, c.covers from (select l_orderkey as collection, count(*) as members from lineitem group by 1) m
+left join (select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by k) as covers from k where k <= 3 group by 1) c on c.l_orderkey = m.collection
+""")
+def covers_of_collection(spark: SparkSession, d: str) -> Row:
+    """Members, and the first three covers among the first six rows; A stands for a row without cover."""
+    rows = table(spark, d, "lineitem")
+    counts = rows.groupBy(F.col("l_orderkey").alias("collection")).agg(F.count("*").alias("members"))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))).where("rn <= 6 and l_returnflag <> 'A'")
+    got = first.groupBy(F.col("l_orderkey").alias("collection")).agg(F.array_sort(F.collect_list(F.struct("rn", "l_partkey"))).alias("c"))
+    return counts.join(got, "collection", "left").select("collection", "members", F.array_join(F.slice(F.col("c.l_partkey"), 1, 3), ",").alias("covers"))
+
+
+@query("ingest_per_day", "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1")
+def ingest_per_day(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("top_users", "select user_id, count(*) as n, max(ts) as last_seen from events where event_type = 'view' group by 1 order by n desc, user_id limit 10")
+def top_users(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen")).orderBy(F.desc("n"), "user_id").limit(10)
+
+
+@query("mode_first_wins", "select o_custkey, o_orderpriority as usual from (select o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by count(*) desc, min(o_orderkey)) as rn from orders group by 1, 2) where rn = 1")
+def mode_first_wins(spark: SparkSession, d: str) -> Row:
+    g = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    return g.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("n", -F.col("first"))).alias("usual"))
+
+
+@query("transition_matrix", "select a, b, count(*) as n, string_agg(distinct cast(user_id % 5 as varchar), ',' order by cast(user_id % 5 as varchar)) as sources from (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b, user_id from events) where b is not null group by 1, 2")
+def transition_matrix(spark: SparkSession, d: str) -> Row:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"), (F.col("user_id") % 5).cast("string").alias("s")).where("b is not null")
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("s")), ",").alias("sources"))
+
+
+@query("series_or_magazine", "select o_custkey, n, years, case when years >= 5 and n > 8 then 'revista' when n = 1 then 'libro' else 'serie' end as kind from (select o_custkey, count(*) as n, count(distinct year(o_orderdate)) as years from orders group by 1)")
+def series_or_magazine(spark: SparkSession, d: str) -> Row:
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct(F.year("o_orderdate")).alias("years"))
+    return g.withColumn("kind", F.when((F.col("years") >= 5) & (F.col("n") > 8), "revista").when(F.col("n") == 1, "libro").otherwise("serie"))
+
+
+@query("auto_number_members", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, (select max(l_linenumber) from lineitem) + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as number from lineitem where l_quantity < 3")
+def auto_number_members(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "lineitem")
+    most = rows.agg(F.max("l_linenumber").alias("most"))  # one row
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return rows.where("l_quantity < 3").crossJoin(F.broadcast(most)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("most") + F.row_number().over(w)).cast("long").alias("number"))
+
+
+@query("one_member_collections", "select c_custkey, case when min(o_orderstatus) = 'F' then 'cerrada' when min(o_totalprice) > 100000 then 'cara' else 'otra' end as signal from customer join orders on c_custkey = o_custkey group by 1 having count(*) = 1")
+def one_member_collections(spark: SparkSession, d: str) -> Row:
+    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.min("o_orderstatus").alias("s"), F.min("o_totalprice").alias("p")).where("n = 1")
+    return g.join(table(spark, d, "customer").select("c_custkey"), "c_custkey", "left_semi").select("c_custkey", F.when(F.col("s") == "F", "cerrada").when(F.col("p") > 100000, "cara").otherwise("otra").alias("signal"))
+
+
+@query("duplicate_keeper", """
+select hash, doc_id as keeper, n from (select sha256(text) as hash, d.doc_id, count(*) over (partition by sha256(text)) as n,
+ row_number() over (partition by sha256(text) order by (case when l.quality = 1 then 4 else 0 end) + (case when l.toxic = 0 then 3 else 0 end) + (case when source < 'src2' then 2 else 0 end) desc, d.doc_id) as rn
+ from documents d left join labels l on d.doc_id = l.doc_id) where rn = 1 and n > 1
+""")
+def duplicate_keeper(spark: SparkSession, d: str) -> Row:
+    """Of each group of copies the row of the highest score, then the first; aggregated, so a hot group needs no sort."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    score = F.when(F.col("quality") == 1, 4).otherwise(0) + F.when(F.col("toxic") == 0, 3).otherwise(0) + F.when(F.col("source") < "src2", 2).otherwise(0)
+    g = rows.groupBy(F.sha2("text", 256).alias("hash")).agg(F.max_by("doc_id", F.struct(score, -F.col("doc_id"))).alias("keeper"), F.count("*").alias("n"))
+    return g.where("n > 1")
+
+
+@query("keeper_multi_key", "select p_brand, p_partkey as keeper from (select *, row_number() over (partition by p_brand order by p_size desc, contains(lower(p_name), 'steel') desc, length(p_name), p_name, p_partkey) as rn from part) where rn = 1")
+def keeper_multi_key(spark: SparkSession, d: str) -> Row:
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), F.contains(F.lower("p_name"), F.lit("steel")).desc(), F.char_length("p_name"), "p_name", "p_partkey")
+    return table(spark, d, "part").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("p_brand", F.col("p_partkey").alias("keeper"))
+
+
+@query("first_claimant", "select l_orderkey, l_quantity, l_linenumber, case when row_number() over (partition by l_orderkey, l_quantity order by l_linenumber) = 1 then cast(l_quantity as int) end as number from lineitem")
+def first_claimant(spark: SparkSession, d: str) -> Row:
+    w = Window.partitionBy("l_orderkey", "l_quantity").orderBy("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_linenumber", F.when(F.row_number().over(w) == 1, F.col("l_quantity").cast("int")).alias("number"))
+
+
+@query("throttled_activity", """
+with recursive e as (select event_id, user_id, epoch_ms(ts) as t, row_number() over (partition by user_id order by ts, event_id) as i from events),
+f(user_id, i, event_id, last_t, emitted) as (select user_id, i, event_id, t, true from e where i = 1
+ union all select e.user_id, e.i, e.event_id, case when e.t - f.last_t >= 21600000 then e.t else f.last_t end, e.t - f.last_t >= 21600000 from f join e on e.user_id = f.user_id and e.i = f.i + 1)
+select event_id, user_id from f where emitted
+""")
+def throttled_activity(spark: SparkSession, d: str) -> Row:
+    from shelfspark.streaming.activity import throttled
+
+    return throttled(table(spark, d, "events"), "user_id", 21_600_000).select("event_id", "user_id")
+
+
+@query("first_value_by_priority", "select o_custkey, coalesce(max(v) filter (where p = 1), max(v) filter (where p = 2), max(v) filter (where p = 3)) as value from (select o_custkey, 1 as p, min(o_orderpriority) filter (where o_orderstatus = 'P') as v from orders group by 1 union all select o_custkey, 2, min(o_orderpriority) filter (where o_orderstatus = 'O') from orders group by 1 union all select o_custkey, 3, 'ninguno' from orders group by 1) group by 1")
+def first_value_by_priority(spark: SparkSession, d: str) -> Row:
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(*(F.min(F.when(F.col("o_orderstatus") == s, F.col("o_orderpriority"))).alias(s) for s in "PO"))
+    return g.select("o_custkey", model.first_valid(F.col("P"), F.col("O"), F.lit("ninguno")).alias("value"))
+
+
+@query("natural_order", "select p_partkey, p_brand, row_number() over (order by regexp_extract(p_brand, '^\\D*'), cast(regexp_extract(p_brand, '(\\d+)', 1) as int), p_partkey) as position from part where p_size = 7")
+def natural_order(spark: SparkSession, d: str) -> Row:
+    rows = table(spark, d, "part").where("p_size = 7")
+    return rows.select("p_partkey", "p_brand", F.row_number().over(Window.orderBy(model.natural_key(F.col("p_brand")), "p_partkey")).alias("position"))
+
+
+@query("ordered_names", "select l_orderkey, string_agg(p_name, ' · ' order by l_linenumber, l_partkey) as names, list(p_name order by l_linenumber, l_partkey)[1] as first_name from lineitem join part on l_partkey = p_partkey group by 1")
+def ordered_names(spark: SparkSession, d: str) -> Row:
+    """An array of keys looked up to names in the array's order."""
+    docs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("k"))
+    flat = docs.select("l_orderkey", F.posexplode("k").alias("pos", "x")).select("l_orderkey", "pos", F.col("x.l_partkey").alias("p_partkey"))
+    named = flat.join(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "left").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "p_name"))).alias("n"))
+    return named.select("l_orderkey", F.array_join(F.col("n.p_name"), " · ").alias("names"), F.element_at(F.col("n.p_name"), 1).alias("first_name"))
+
+
+@query("orphans", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def orphans(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("prefix_join", "select distinct b.p_brand from (select distinct p_brand from part) b where exists (select 1 from part p where starts_with(p.p_brand || p.p_size, b.p_brand || '1'))")
+def prefix_join(spark: SparkSession, d: str) -> Row:
+    parts = table(spark, d, "part")
+    codes = parts.select(F.concat("p_brand", F.lit("1")).alias("code"), "p_brand").distinct()
+    return catalog.prefix_semi(codes, "code", parts.select(F.concat("p_brand", F.col("p_size").cast("string")).alias("long")), "long").select("p_brand").distinct()
+
+
+@query("tolerant_title_match", """
+with t as (select p_partkey, p_brand, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) as w from part where p_partkey <= 400)
+select a.p_partkey as a, b.p_partkey as b from t a join t b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey
+where least(len(a.w), len(b.w)) > 0 and len(list_intersect(a.w, b.w)) >= 0.6 * least(len(a.w), len(b.w))
+""")
+def tolerant_title_match(spark: SparkSession, d: str) -> Row:
+    """Rows of one key whose titles share 60 % of the shorter one's words."""
+    words = F.array_distinct(F.filter(F.split(F.lower("p_name"), " "), lambda w: F.char_length(w) >= 3))
+    t = table(spark, d, "part").where("p_partkey <= 400").select("p_partkey", "p_brand", words.alias("w"))
+    a, b = t.select(F.col("p_partkey").alias("a"), "p_brand", F.col("w").alias("wa")), t.select(F.col("p_partkey").alias("b"), "p_brand", F.col("w").alias("wb"))
+    least = F.least(F.size("wa"), F.size("wb"))
+    return a.join(b, "p_brand").where((F.col("a") < F.col("b")) & (least > 0) & (F.size(F.array_intersect("wa", "wb")) >= 0.6 * least)).select("a", "b")
+
+
+@query("owned_flag", "select p_partkey, exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 48) as owned from part")
+def owned_flag(spark: SparkSession, d: str) -> Row:
+    own = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("_o", F.lit(True))
+    return table(spark, d, "part").join(own, "p_partkey", "left").select("p_partkey", F.col("_o").isNotNull().alias("owned"))
+
+
+@query("registered_and_observed", "select coalesce(n_nationkey, s_nationkey) as place, n_name is not null as registered, coalesce(n, 0) as observed from (select * from nation where n_nationkey > 3) full join (select s_nationkey, count(*) as n from supplier group by 1) on n_nationkey = s_nationkey")
+def registered_and_observed(spark: SparkSession, d: str) -> Row:
+    known = table(spark, d, "nation").where("n_nationkey > 3").select(F.col("n_nationkey").alias("place"), "n_name")
+    seen = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("place")).agg(F.count("*").alias("n"))
+    return known.join(seen, "place", "full").select("place", F.col("n_name").isNotNull().alias("registered"), F.coalesce("n", F.lit(0)).cast("long").alias("observed"))
+
+
+@query("components_of_links", """
+with recursive l as (select distinct least(a.doc_id, b.doc_id) as u, greatest(a.doc_id, b.doc_id) as v from documents a join documents b on a.source = b.source and a.n_chars = b.n_chars and a.doc_id < b.doc_id),
+e as (select u, v from l union select v, u from l), r(n, m) as (select u, u from e union select e.v, r.m from r join e on e.u = r.n)
+select n as node, min(m) as root from r group by 1
+""")
+def components_of_links(spark: SparkSession, d: str) -> Row:
+    """Clusters linked by equal source and length; members of a key are chained, not paired."""
+    from shelfspark.operators.clusters import chained, connected
+
+    return connected(chained(table(spark, d, "documents"), "doc_id", ["source", "n_chars"]))
+
+
+@query("bm25_top", """
+with t as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from documents),
+x as (select doc_id, len(w) as dl, len(list_filter(w, lambda y: y = 'license')) as t1, len(list_filter(w, lambda y: y = 'the')) as t2 from t),
+n as (select count(*) as nd, sum(dl) / count(*) as av, count(*) filter (where t1 > 0) as d1, count(*) filter (where t2 > 0) as d2 from x)
+select doc_id, round(case when t1 > 0 then ln(1 + (nd - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / av)) else 0 end + case when t2 > 0 then ln(1 + (nd - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * dl / av)) else 0 end, 6) as score
+from x, n where t1 > 0 or t2 > 0 order by score desc, doc_id limit 50
+""")
+def bm25_top(spark: SparkSession, d: str) -> Row:
+    docs = table(spark, d, "documents")
+    index = search.build_index(docs, "doc_id", ["text"])
+    ranked = search.bm25(index, docs.count(), ["license", "the"])
+    return ranked.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("prefix_and_search", "select doc_id from documents where len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'licen'))) > 0 and len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'vers'))) > 0")
+def prefix_and_search(spark: SparkSession, d: str) -> Row:
+    return search.match_all_prefixes(search.build_index(table(spark, d, "documents"), "doc_id", ["text"]), ["licen", "vers"]).select(F.col("id").alias("doc_id"))
+
+
+@query("phrase_search", "select doc_id from documents where contains(' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' apache license ')")
+def phrase_search(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "documents").where(search.phrase(F.col("text"), "Apache License")).select("doc_id")
+
+
+@query("keyword_ranking", "select doc_id, (case when contains(text, 'License') then 1 else 0 end) + (case when contains(text, ' the ') then 1 else 0 end) as hits from documents where contains(text, 'License') or contains(text, ' the ')")
+def keyword_ranking(spark: SparkSession, d: str) -> Row:
+    docs, hits = table(spark, d, "documents"), None
+    for i, k in enumerate(["License", " the "]):
+        rows = docs.where(F.contains("text", F.lit(k))).select(F.col("doc_id").alias("id"), F.lit(i).alias("keyword"), F.col("n_chars").alias("rank"))
+        hits = rows if hits is None else hits.unionByName(rows)
+    return search.keyword_rank(hits).select(F.col("id").alias("doc_id"), F.col("hits").cast("int").alias("hits"))
+
+
+_SUM13 = " + ".join(f"cast(substr(b, {i}, 1) as int) * {1 if i % 2 else 3}" for i in range(1, 13))
+
+
+@query("isbn_checks", f"""
+with k as (select p_partkey, '978' || lpad(cast(p_partkey as varchar), 9, '0') as b, cast(p_partkey % 10 as varchar) as last from part)
+select p_partkey, ((10 - ({_SUM13}) % 10) % 10) = cast(last as int) as valid13, case when ((10 - ({_SUM13}) % 10) % 10) = cast(last as int) then b || last end as isbn from k
+""")
+def isbn_checks(spark: SparkSession, d: str) -> Row:
+    c = F.concat(F.lit("978-"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("-"), (F.col("p_partkey") % 10).cast("string"))
+    return table(spark, d, "part").select("p_partkey", ident.isbn(c).isNotNull().alias("valid13"), ident.isbn(c).alias("isbn"))
+
+
+@query("isbn_round_trip", "select p_partkey, true as same from part")
+def isbn_round_trip(spark: SparkSession, d: str) -> Row:
+    body = F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    thirteen = F.concat(body, ident._ean_control(body))
+    return table(spark, d, "part").select("p_partkey", (ident.isbn_to_13(ident.isbn_to_10(thirteen)) == thirteen).alias("same"))
+
+
+@query("content_hashes", "select doc_id, sha256(text) as hash from documents")
+def content_hashes(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("volume_inventory", """
+select o.l_orderkey, n.number, l.l_partkey from (select l_orderkey, max(l_linenumber) as total from lineitem where l_quantity > 5 group by 1) o, lateral (select unnest(range(1, o.total + 1)) as number) n
+left join (select * from lineitem where l_quantity > 5) l on l.l_orderkey = o.l_orderkey and l.l_linenumber = n.number
+""")
+def volume_inventory(spark: SparkSession, d: str) -> Row:
+    """Every number from 1 to the total, with its volume or null."""
+    rows = table(spark, d, "lineitem").where("l_quantity > 5")
+    numbers = rows.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("total")).select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("number"))
+    return numbers.join(rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("number"), "l_partkey"), ["l_orderkey", "number"], "left")
+
+
+@query("merge_fill_gaps", """
+select c_custkey, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_name end, ''), 'new ' || c_custkey) as name, case when c_custkey % 5 = 0 then c_acctbal + 1 else c_acctbal end as balance from customer
+""")
+def merge_fill_gaps(spark: SparkSession, d: str) -> Row:
+    from shelfspark.operators.merge import merge_records
+
+    base = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"), (F.col("c_custkey") % 5 == 0).alias("pending"), F.lit(False).alias("locked"))
+    new = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("new "), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_acctbal") + 1).alias("balance"))
+    return merge_records(base, new, "c_custkey", fill=["name"], upgrade=["balance"]).select("c_custkey", "name", "balance")
+
+
+@query("upsert_usage", "select n_nationkey as code, coalesce(u.n, 0) + 1 as uses from nation left join (select s_nationkey, count(*) as n from supplier group by 1) u on n_nationkey = s_nationkey")
+def upsert_usage(spark: SparkSession, d: str) -> Row:
+    from shelfspark.operators.merge import upsert_count
+
+    old = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("code")).agg(F.count("*").alias("uses"))
+    return upsert_count(old, table(spark, d, "nation").select(F.col("n_nationkey").alias("code")), "code", "uses")
+
+
+@query("field_differences", "select c_custkey, 'c_mktsegment' as field, c_mktsegment as current, upper(substr(c_mktsegment, 1, 8)) as incoming from customer where lower(trim(c_mktsegment)) <> lower(trim(substr(c_mktsegment, 1, 8)))")
+def field_differences(spark: SparkSession, d: str) -> Row:
+    from shelfspark.operators.merge import differences
+
+    base = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    new = base.select("c_custkey", F.upper(F.substring("c_mktsegment", 1, 8)).alias("c_mktsegment"), F.concat(F.lit(" "), F.lower("c_name")).alias("c_name"))
+    return differences(base, new, "c_custkey", ["c_mktsegment", "c_name"])
+
+
+@query("identity_cascade", """
+with k as (select doc_id, sha256(text) as h, source || ':' || n_chars as v from documents), m as (select doc_id, h, v, min(doc_id) over (partition by h) as fh, min(doc_id) over (partition by v) as fv from k)
+select doc_id, case when fh < doc_id then fh when fv < doc_id then fv else doc_id end as target, case when fh < doc_id then 'duplicado_exacto' when fv < doc_id then 'actualizacion' else 'insercion' end as outcome from m
+""")
+def identity_cascade(spark: SparkSession, d: str) -> Row:
+    from shelfspark.operators.merge import cascade
+
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.concat("source", F.lit(":"), F.col("n_chars").cast("string")).alias("v"))
+    return cascade(docs, "doc_id", [("h", "duplicado_exacto"), ("v", "actualizacion")])
+
+
+@query("resource_outcome_tally", "select event_type as outcome, strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as batch, count(*) as n from events group by 1, 2")
+def resource_outcome_tally(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("outcome"), F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query("json_properties", "select event_id, json_extract_string(props, '$.k') as k from events")
+def json_properties(spark: SparkSession, d: str) -> Row:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
