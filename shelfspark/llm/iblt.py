@@ -63,6 +63,8 @@ def _places(keys: Column, size: Column, base: Column) -> Column:
 def _gathered(places: Column, keys: Column) -> Column:
     """Cells (c, k) with the XOR k of the keys that fall into cell c; empty cells are left out."""
 
+    empty = F.array().cast("array<struct<c:bigint,k:bigint>>")
+
     def of(e: Column) -> Column:
         cell = lambda i: F.shiftrightunsigned(F.get(e, i), 32)
         starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (cell(i) != cell(i - 1)))
@@ -73,10 +75,9 @@ def _gathered(places: Column, keys: Column) -> Column:
             whole = F.transform(s, lambda at, i: F.struct(cell(at).alias("c"), total(at, F.coalesce(F.get(s, i + 1), F.size(e)) - at).alias("k")))
             return F.filter(whole, lambda x: x["k"] != 0)
 
-        return let(starts, cells)
+        return F.when(F.size(e) == 0, empty).otherwise(let(starts, cells))
 
-    empty = F.array().cast("array<struct<c:bigint,k:bigint>>")
-    return F.when(F.size(places) == 0, empty).otherwise(let(F.sort_array(places), of))
+    return let(F.sort_array(places), of)
 
 
 def sketch(keys: Column, size: Column) -> Column:
