@@ -46,7 +46,7 @@ def digests(text: Column) -> Column:
     long, and about every second sentence gives pieces that an edit elsewhere in the line leaves alone.
     """
     parts = F.split(text, r"(?<=[a-j][.!?])[ \t]+|[\r\n]+")
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(parts, F.trim), lambda p: p != ""), lambda p: checked(F.xxhash64(p)))))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: checked(F.xxhash64(p)))))
 
 
 def cell_of(key: Column, j: int, size: Column) -> Column:
