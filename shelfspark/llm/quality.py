@@ -133,20 +133,22 @@ def train(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, bits: int
     return OrdinalModel(w, t)
 
 
-def fit(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", id_col: str = "doc_id", rows_per_grade: int = 4000) -> OrdinalModel:
-    """Fit on rated rows (grades 0, 1, 2, ...).
+def fit(docs: DataFrame, grades: DataFrame, *, text_col: str = "text", grade_col: str = "grade", id_col: str = "doc_id", rows_per_grade: int = 4000) -> OrdinalModel:
+    """Fit on the documents that ``grades`` (one row of id and grade 0, 1, 2, ... each) has a grade of.
 
-    ``rows_per_grade`` bounds the sample: from each grade that many rows are expected, chosen by a hash of the id.
+    ``rows_per_grade`` bounds the sample: of each grade that many ids are expected, chosen by a hash of the id, and only
+    those few ids are sent to the documents, so no text is shuffled.
     """
-    rows = rated.select(rated[id_col].cast("long").alias("doc_id"), rated[text_col].cast("string").alias("text"), rated[grade_col].cast("int").alias("grade")).where("text is not null and grade is not null")
-    ship(rated.sparkSession)
-    counts = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    ship(docs.sparkSession)
+    ids = grades.select(grades[id_col].cast("long").alias("doc_id"), grades[grade_col].cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+    counts = {r["grade"]: r["n"] for r in ids.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not counts or max(counts) == 0:
         return OrdinalModel(np.zeros(1 << BITS), np.array([30.0]))
     share = F.lit(0.0)
     for grade, n in counts.items():
         share = F.when(F.col("grade") == grade, F.lit(rows_per_grade / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("grade", "text")
+    sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    picked = two(docs, id_col, text_col).where("text is not null").join(F.broadcast(sample), "doc_id").select("grade", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
@@ -156,6 +158,8 @@ def fit(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", i
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(places, pa.binary())], ["grade", "places"])
 
     got = sorted((r["grade"], bytes(r["places"])) for r in picked.mapInArrow(work, "grade int, places binary").collect())
+    if len({g for g, _ in got}) < 2:
+        return OrdinalModel(np.zeros(1 << BITS), np.array([30.0] * max(counts)))
     return train([np.frombuffer(r[1], "<u4").astype(np.int64) for r in got], np.array([r[0] for r in got]), max(counts) + 1)
 
 

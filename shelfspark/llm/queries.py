@@ -20,16 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a grade: 0 toxic, 1 of low quality, 2 good."""
+def graded(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade``: 0 toxic, 1 of low quality, 2 good; of several labels the lowest grade."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    grades = labels.groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(grades, "doc_id")
+    return labels.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(rated(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, graded(table(spark, sf_dir, "labels")))
     out = quality.rate(docs, model)
     return out.withColumn("kept", F.col("tail_prob") >= quality.LEAST)
 
