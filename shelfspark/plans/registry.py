@@ -28,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    import shelfspark.plans.catalogue  # noqa: F401  registers
+    import shelfspark.plans.catalogue
+    import shelfspark.plans.records  # noqa: F401  both register
 
 
 def queries() -> dict[str, Query]:
