@@ -4,21 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def throttled(events: DataFrame, key: str, window_ms: int, at: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Events at least ``window_ms`` after the last one of their key that was let through.
+    """``key, id`` of events at least ``window_ms`` after the last one of their key that was let through.
 
-    A fold over each key's events in order; a comparison with the event just before would let other ones through.
+    A comparison with the event just before would let other ones through, so each key's events are walked in order.
+    They stream past sorted, a batch at a time, and the walk jumps from one event let through to the next.
+    Events without a key or a time are left out.
     """
-    item = F.struct(F.unix_millis(F.col(at).cast("timestamp")).alias("t"), F.col(id_col).alias("i"))
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x["t"] - a["last"] >= window_ms), F.struct(x["t"].alias("last"), F.concat(a["kept"], F.array(x["i"].cast("long"))).alias("kept"))).otherwise(a)
-    return rows.select(key, F.explode(F.aggregate("e", start, step, lambda a: a["kept"])).alias(id_col))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, 0
+        for rows in batches:
+            keys, times = rows[key].to_numpy(), rows["t"].to_numpy()
+            kept: list[int] = []
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                i = a if keys[a] != last_key else a + int(np.searchsorted(times[a:b], last + window_ms))
+                while i < b:
+                    kept.append(i)
+                    last = int(times[i])
+                    i = a + int(np.searchsorted(times[a:b], last + window_ms))
+                last_key = keys[a]
+            yield rows.iloc[kept][[key, id_col]]
+
+    rows = events.select(F.col(key).cast("long").alias(key), F.unix_millis(F.col(at).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias(id_col))
+    rows = rows.where(F.col(key).isNotNull() & F.col("t").isNotNull()).repartition(key).sortWithinPartitions(key, "t", id_col)
+    return rows.mapInPandas(walk, f"{key} long, {id_col} long")
 
 
 def throttled_stream(events: DataFrame, key: str, window_ms: int, at: str = "ts", id_col: str = "event_id") -> DataFrame:
