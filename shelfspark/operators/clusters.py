@@ -13,7 +13,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the checkpoint folder, which ends its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shelfspark-"))
     path = f"{context.getCheckpointDir()}/links-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
