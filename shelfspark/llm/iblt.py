@@ -158,9 +158,9 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The edited form has its last quarter of code points replaced by as many first ones of the next document (or all).
     The documents are shuffled once, by id; what a document gives to the one before is only the piece that it needs.
     """
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    least = F.lit(-(2**63)).cast("long")  # a null id comes first
-    base = base.withColumn("at", F.coalesce("doc_id", least))
+    least = F.lit(-(2**63)).cast("long")  # stands for a null id, which comes first
+    # the same two columns on both ways that the documents go, so that they are shuffled once
+    base = docs.select(F.coalesce(docs[id_col].cast("long"), least).alias("at"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     sizes = base.groupBy("at").agg(F.max(F.char_length("text")).alias("n"))
     order = with_next(sizes, "at")  # at, n, next_key
     asked = order.select(F.col("next_key").alias("at"), F.col("at").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("need"))
@@ -170,7 +170,7 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     joined = known.join(given, "at")
-    return joined.select("doc_id", "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_keys")
+    return joined.select(F.nullif("at", least).alias("doc_id"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_keys")
 
 
 def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
