@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def upsert_index(index: DataFrame, changed: DataFrame) -> DataFrame:
 
 def match_all_prefixes(index: DataFrame, query: list[str]) -> DataFrame:
     """Ids of documents with, for every token, a word that it begins; any field, any order."""
-    hit = F.array(*[F.when(F.col("term").startswith(q), i) for i, q in enumerate(query)])
-    rows = index.where(F.exists(hit, lambda h: h.isNotNull())).select("id", F.explode(F.array_compact(hit)).alias("q"))
-    return rows.groupBy("id").agg(F.count_distinct("q").alias("n")).where(F.col("n") == len(query)).select("id")
+    some = reduce(lambda x, y: x | y, (F.col("term").startswith(q) for q in query))
+    found = [F.max(F.col("term").startswith(q)).alias(f"_{i}") for i, q in enumerate(query)]
+    rows = index.where(some).groupBy("id").agg(*found)
+    return rows.where(reduce(lambda x, y: x & y, (F.col(f"_{i}") for i in range(len(query))))).select("id")
 
 
 def phrase(c: Column, query: str) -> Column:
