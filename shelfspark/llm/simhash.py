@@ -208,10 +208,10 @@ def label_components(docs: DataFrame, *, radius: int = 4, k: int = 4, id_col: st
     return prints.join(of_node, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of near copies: bits of the fingerprint of words that is cut into blocks, and of the fingerprint of shingles.
-WIDE, CHECK = 8, 4
+#: Of near copies: words of the fingerprint of shingles, and bands and rows of the least hashes that find candidates.
+CHECK, BANDS, ROWS = 4, 24, 5
 _P = np.uint64(0x100000001B3)
-_POWERS = np.array([pow(0x100000001B3, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+_SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 
 
 def _mixed(h: np.ndarray, columns: int) -> np.ndarray:
@@ -224,54 +224,130 @@ def _mixed(h: np.ndarray, columns: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """For each text a 512-bit fingerprint of its distinct words and a 256-bit one of its shingles of ``k`` words."""
+def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit hashes of all texts' shingles of ``k`` words, in order of text and hash, and their texts."""
     low, first, last, text = words_of(texts)
-    n = len(texts)
     if not len(first):
-        return np.zeros((n, WIDE), np.uint64), np.zeros((n, CHECK), np.uint64)
-    size = last - first
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     place = np.arange(len(low)) - np.repeat(first, np.diff(np.append(first, len(low))))
-    value = low.astype(np.uint64) * _POWERS[place & 63]
+    value = low.astype(np.uint64) * np.multiply.accumulate(np.full(place.max() + 1, _P))[place]
     value[low == 32] = 0
-    h = np.add.reduceat(value, first) ^ (size.astype(np.uint64) << np.uint64(56))
-    order = np.lexsort((h, text))
-    th, tt = h[order], text[order]
-    new = np.ones(len(th), bool)
-    new[1:] = (th[1:] != th[:-1]) | (tt[1:] != tt[:-1])
-    wide = majority(_mixed(th[new], WIDE), tt[new], n)
-    count = np.bincount(text, minlength=n)
+    h = _mixed(np.add.reduceat(value, first) ^ ((last - first).astype(np.uint64) << np.uint64(40)), 1)[:, 0]
+    count = np.bincount(text, minlength=len(texts))
     begin = np.cumsum(count) - count
     i = np.flatnonzero(np.arange(len(text)) - begin[text] <= np.maximum(count[text] - k, 0))
     end = begin[text[i]] + count[text[i]]
     g = np.zeros(len(i), np.uint64)
     for j in range(k):
-        inside = i + j < end
-        g = g * _P + np.where(inside, h[np.minimum(i + j, len(h) - 1)], np.uint64(0))
-    return wide, majority(_mixed(g, CHECK), text[i], n)
+        g = g * _P + np.where(i + j < end, h[np.minimum(i + j, len(h) - 1)], np.uint64(0))
+    g, of = _mixed(g, 1)[:, 0], text[i]
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+    return g[new], of[new]
+
+
+def band_keys(g: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band of least hashes of every text that has shingles, and how many keys each text has."""
+    edge = np.flatnonzero(np.diff(of, prepend=-1))
+    keys = np.empty((len(edge), BANDS), np.uint64)
+    for b in range(BANDS) if len(edge) else ():
+        key = np.full(len(edge), b, np.uint64)
+        for c in range(b * ROWS, (b + 1) * ROWS):
+            key = _mixed(key ^ np.minimum.reduceat(g * (_SEEDS[0, c] | np.uint64(1)) + _SEEDS[1, c], edge), 1)[:, 0]
+        keys[:, b] = key
+    return keys, np.bincount(of[edge], minlength=n) * BANDS
+
+
+def jaccard(a: pa.Array, b: pa.Array, k: int = 5) -> np.ndarray:
+    """The similarity of each two texts: shared distinct shingles of ``k`` words over all; 1 for two texts without words."""
+    n = len(a)
+    (ga, fa), (gb, fb) = shingle_sets(a, k), shingle_sets(b, k)
+    g, of = np.concatenate([ga, gb]), np.concatenate([fa, fb])
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    shared = np.bincount(of[1:][(g[1:] == g[:-1]) & (of[1:] == of[:-1])], minlength=n)
+    whole = np.bincount(of, minlength=n) - shared
+    return np.where(whole == 0, 1.0, shared / np.maximum(whole, 1))
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similar: float, k: int) -> DataFrame:
+    """Those of the pairs ``u, v`` whose texts have a similarity of ``similar`` or more, computed from the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for half in runs(batches, "a") for part in runs(iter([half]), "b")):
+            near = pa.array(jaccard(batch.column("a"), batch.column("b"), k) >= similar)
+            yield batch.select(["u", "v"]).filter(near)
+
+    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
+
 
+def _unlinked(rows: DataFrame, radius: int, signature: list[str], small: int = 24, chunk: int = 1024) -> DataFrame:
+    """All pairs ``u, v`` (u < v) of a bucket within the radius whose roots differ; large buckets in pairs of chunks."""
+    few = rows.where(F.col("n") <= small)
+    a, b = few.alias("a"), few.alias("b")
+    near = _distance([F.col(f"a.{c}") for c in signature], [F.col(f"b.{c}") for c in signature]) <= radius
+    out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-def near_copies(docs: DataFrame, *, k: int = 5, radius: int = 48, bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of texts whose shingles of five words are similar by 0.8 or more, as fingerprints tell.
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    many = rows.where(F.col("n") > small).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("key", "node", "root", *signature, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    At a similarity of 0.8 two of 256 shingle bits' fingerprints differ in 39 bits on average, with a deviation of 6.
-    Such a pair differs in few words, so the 512-bit fingerprints of words differ in 35 bits or so, and 21 blocks of
-    24 bits share one almost always.  Pairs that share a block are verified on the 256 bits at ``radius``.
+    def span(group: pd.DataFrame) -> pd.DataFrame:
+        node, root = group["node"].to_numpy(), group["root"].to_numpy()
+        words = [group[c].to_numpy().view(np.uint64) for c in signature]
+        us, vs = [node[:0]], [node[:0]]
+        for x in range(0, len(node), 256):
+            d = sum(np.bitwise_count(w[x : x + 256, None] ^ w[None, :]).astype(np.uint16) for w in words)
+            p, q = np.nonzero((d <= radius) & (root[x : x + 256, None] != root[None, :]) & (node[x : x + 256, None] < node[None, :]))
+            us.append(node[p + x])
+            vs.append(node[q])
+        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return out.unionAll(many.groupBy("key", "i", "j").applyInPandas(span, "u long, v long")).distinct()
+
+
+def near_copies(docs: DataFrame, *, k: int = 5, similar: float = 0.8, radius: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of texts linked by a similarity of ``similar`` or more of their distinct shingles.
+
+    Texts of equal shingles are one node.  Candidates share a band of least hashes, whatever the edit looks like: of
+    pairs at 0.8, all but 7 in 100,000 share one of 24 bands of 5.  Their 256-bit SimHash fingerprints may then differ
+    in ``radius`` bits, far above the 39 expected at 0.8 (deviation 6; 48 for the shortest texts), and what passes is
+    decided by the similarity itself, from the texts.  Each bucket is first compared with one of its nodes; only pairs
+    that this leaves in different components are compared after that.
     """
-    blocks = 64 * WIDE // bits
+    names = [f"s{c}" for c in range(CHECK)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
-            wide, check = wide_fingerprints(batch.column("text"), k)
-            flags = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, : blocks * bits].reshape(len(wide), blocks, bits)
-            keys = flags.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(blocks, dtype=np.int64) << bits)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(check[:, c].copy().view(np.int64)) for c in range(CHECK)), lists], ["doc_id", *names, "keys"])
-
-    names = [f"s{c}" for c in range(CHECK)]
-    prints = saved(two(docs, id_col, text_col).mapInArrow(work, f"doc_id long, {', '.join(f'{c} long' for c in names)}, keys array<long>").withColumn("node", F.xxhash64(*names, "keys")))
+            texts = batch.column("text")
+            n = len(texts)
+            g, of = shingle_sets(texts, k)
+            keys, sizes = band_keys(g, of, n)
+            check = majority(_mixed(g, CHECK), of, n)
+            bounds = np.searchsorted(of, np.arange(n + 1)).tolist()
+            node = np.fromiter((xxhash.xxh64_intdigest(g[x:y].tobytes(), 42) for x, y in zip(bounds, bounds[1:], strict=False)), np.uint64, n)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64)), *(pa.array(check[:, c].copy().view(np.int64)) for c in range(CHECK)), lists, texts], ["doc_id", "node", *names, "keys", "text"])
+
+    prints = saved(two(docs, id_col, text_col).mapInArrow(work, f"doc_id long, node long, {', '.join(f'{c} long' for c in names)}, keys array<long>, text string"))
     nodes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in names), F.min("keys").alias("keys")))
-    roots = saved(components(links(nodes, radius, signature=names)))
+    rows = nodes.select("node", *names, F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", *names)).alias("hub")).where("n > 1")
+    rows = saved(rows.join(buckets, "key"))
+    met = rows.select("node").distinct()
+    texts = saved(prints.select("node", "text").join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+
+    to_hub = _distance([F.col(c) for c in names], [F.col(f"hub.{c}") for c in names]) <= radius
+    first = saved(alike(rows.where((F.col("node") != F.col("hub.node")) & to_hub).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), texts, similar, k))
+    linked = rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = linked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = saved(linked.where(F.col("node") != F.col("hub.node")).drop("hub").join(open_, "key", "left_semi"))
+    second = alike(_unlinked(left, radius, names), texts, similar, k)
+    roots = saved(components(first.unionAll(second)))
     ids = roots.join(nodes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = roots.join(ids, "root").select("node", "component_id")
     of_node = nodes.select("node", "least_id").join(known, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))

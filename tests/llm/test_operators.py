@@ -258,3 +258,13 @@ def test_near_copies_by_brute_force(spark):
                 missed += j >= 0.85 and label[a] != label[b]
                 wrong += j < 0.3 and label[a] == label[b]
     assert close and missed <= 0.05 * close and not wrong
+
+
+def test_candidates_of_near_copies():
+    """Nearly all pairs at 0.8 share a band, though their edit is one passage."""
+    words = lambda seed, n: [hashlib.md5(f"{seed} {i}".encode()).hexdigest()[:7] for i in range(n)]
+    a = [" ".join(words(s, 404)) for s in range(1000)]
+    b = [" ".join(words(s, 404) + words(f"other {s}", 100)) for s in range(1000)]
+    (ka, _), (kb, _) = (simhash.band_keys(*simhash.shingle_sets(simhash.pa.array(t)), 1000) for t in (a, b))
+    assert (simhash.jaccard(simhash.pa.array(a), simhash.pa.array(b)) == 0.8).all()
+    assert ((ka == kb).any(1)).sum() >= 998
