@@ -260,6 +260,24 @@ def test_near_copies_by_brute_force(spark):
     assert close and missed <= 0.05 * close and not wrong
 
 
+def test_near_copies_at_the_boundary(spark):
+    """Appended passages and replaced tails of either side of a similarity of 0.8, and a group of 60 unlike templates."""
+    words = lambda seed, n: [hashlib.md5(f"{seed} {i}".encode()).hexdigest()[:7] for i in range(n)]
+    rows, linked, apart = [], [], []
+    for seed in range(150):
+        base, other = words(seed, 404), words(f"other {seed}", 404)  # 400 shingles
+        kinds = [(100, 0, True), (102, 0, False), (60, 0, True), (44, 44, True), (45, 45, False)]  # words added, words cut before, 0.8 or more
+        more, cut, same = kinds[seed % 5]
+        rows += [(2 * seed, " ".join(base)), (2 * seed + 1, " ".join(base[: 404 - cut] + other[:more]))]
+        (linked if same else apart).append(2 * seed)
+    common = words("template", 200)
+    rows += [(1000 + i, " ".join(common + words(f"t{i}", 60))) for i in range(60)]  # 0.62
+    label = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in linked if label[i] != label[i + 1]] == []
+    assert [i for i in apart if label[i] == label[i + 1]] == []
+    assert all(label[1000 + i] == 1000 + i for i in range(60))
+
+
 def test_candidates_of_near_copies():
     """Nearly all pairs at 0.8 share a band, though their edit is one passage."""
     words = lambda seed, n: [hashlib.md5(f"{seed} {i}".encode()).hexdigest()[:7] for i in range(n)]
