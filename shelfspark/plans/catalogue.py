@@ -315,6 +315,29 @@ def tolerant_title_match(spark: SparkSession, d: str) -> Row:
     return a.join(b, "p_brand").where((F.col("a") < F.col("b")) & (least > 0) & (F.size(F.array_intersect("wa", "wb")) >= 0.6 * least)).select("a", "b")
 
 
+@query("tolerant_title_match_all", """
+with t as (select p_partkey, p_brand, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) as w from part)
+select a.p_partkey as a, b.p_partkey as b from t a join t b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey
+where least(len(a.w), len(b.w)) > 0 and len(list_intersect(a.w, b.w)) >= 0.6 * least(len(a.w), len(b.w))
+""")
+def tolerant_title_match_all(spark: SparkSession, d: str) -> Row:
+    """All rows of the table of one key whose titles share 60 % of the shorter one's words.
+
+    Pairs meet in a shared word.  The shorter title brings only as many of its words as may all but one be missing from
+    the longer one: of 5 words that must share 3, any 3 hold a shared one.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("p_name"), " "), lambda w: F.char_length(w) >= 3))
+    t = table(spark, d, "part").select("p_partkey", "p_brand", F.array_sort(words).alias("w")).where(F.size("w") > 0)
+    n = F.size("w")
+    few = F.slice("w", F.lit(1), (n - F.ceil(n * F.lit(0.6)) + 1).cast("int"))
+    a = t.select(F.col("p_partkey").alias("s"), "p_brand", F.col("w").alias("ws"), F.explode(few).alias("word"))
+    b = t.select(F.col("p_partkey").alias("l"), "p_brand", F.col("w").alias("wl"), F.explode("w").alias("word"))
+    size = F.size("ws")
+    met = a.join(b, ["p_brand", "word"]).where((size < F.size("wl")) | ((size == F.size("wl")) & (F.col("s") != F.col("l"))))
+    near = met.where(F.size(F.array_intersect("ws", "wl")) >= 0.6 * size)
+    return near.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+
+
 @query("owned_flag", "select p_partkey, exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 48) as owned from part")
 def owned_flag(spark: SparkSession, d: str) -> Row:
     own = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("_o", F.lit(True))

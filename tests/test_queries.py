@@ -40,3 +40,16 @@ def test_entry_runs_without_the_corpus_operators(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tolerant_title_match_of_the_whole_table(spark):
+    """Brute force over all parts, those beyond 400 included."""
+    sf = "/root/testdata/sf0.01"
+    by_brand = {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        by_brand.setdefault(r.p_brand, []).append((r.p_partkey, {w for w in r.p_name.lower().split(" ") if len(w) >= 3}))
+    want = set()
+    for rows in by_brand.values():
+        want |= {(a, b) for a, x in rows for b, y in rows if a < b and min(len(x), len(y)) and len(x & y) >= 0.6 * min(len(x), len(y))}
+    got = [(r.a, r.b) for r in registry.queries()["tolerant_title_match_all"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(a > 400 for a, _ in want)
