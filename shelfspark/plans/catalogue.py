@@ -280,6 +280,13 @@ def natural_order(spark: SparkSession, d: str) -> Row:
     return rows.select("p_partkey", "p_brand", F.row_number().over(Window.orderBy(model.natural_key(F.col("p_brand")), "p_partkey")).alias("position"))
 
 
+@query("natural_order_in_folders", "select p_partkey, p_size, p_brand, row_number() over (partition by p_size order by regexp_extract(p_brand, '^\\D*'), cast(regexp_extract(p_brand, '(\\d+)', 1) as int), p_partkey) as position from part")
+def natural_order_in_folders(spark: SparkSession, d: str) -> Row:
+    """The position of every row of the table within its folder (here a size)."""
+    place = F.row_number().over(Window.partitionBy("p_size").orderBy(model.natural_key(F.col("p_brand")), "p_partkey"))
+    return table(spark, d, "part").select("p_partkey", "p_size", "p_brand", place.alias("position"))
+
+
 @query("ordered_names", "select l_orderkey, string_agg(p_name, ' · ' order by l_linenumber, l_partkey) as names, list(p_name order by l_linenumber, l_partkey)[1] as first_name from lineitem join part on l_partkey = p_partkey group by 1")
 def ordered_names(spark: SparkSession, d: str) -> Row:
     """An array of keys looked up to names in the array's order."""
