@@ -49,6 +49,26 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: checked(F.xxhash64(p)))))
 
 
+#: Every sentence end in any script, with closing quotes or brackets after it, and every line break.
+ENDS = r"(?<=[.!?\u2026\u061F\u06D4\u0964\u0965\u0589\u1362][\)\]\"'\u00BB\u201D\u2019]?)\s+|(?<=[\u3002\uFF01\uFF1F\uFF61])|[\r\n]+"
+#: Longer runs without an end are cut after words whose hash is a multiple of 8, and after 32 words at most.
+LONG = 240
+
+
+def whole_digests(text: Column) -> Column:
+    """Sorted distinct digests of a text's paragraphs, which end at every line break and every sentence end."""
+
+    def pieces(p: Column) -> Column:
+        def cut(w: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i % 32 == 0) | (F.pmod(F.xxhash64(F.get(w, i - 1)), F.lit(8)) == 0))
+            return let(starts, lambda s: F.transform(s, lambda at, i: F.array_join(F.slice(w, at + 1, F.coalesce(F.get(s, i + 1), F.size(w)) - at), " ")))
+
+        return F.when(F.char_length(p) <= LONG, F.array(p)).otherwise(let(F.regexp_extract_all(p, F.lit(r"(\S{1,64})"), F.lit(1)), cut))
+
+    parts = F.filter(F.transform(F.split(text, ENDS), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(parts, pieces)), lambda p: checked(F.xxhash64(p)))))
+
+
 def cell_of(key: Column, j: int, size: Column) -> Column:
     """The place of a digest's cell in subtable ``j``; the subtables' cells follow each other."""
     return F.shiftrightunsigned(key, 16 + 16 * j).bitwiseAND(size - 1) + size * j
@@ -152,7 +172,7 @@ def fingerprint(keys: Column) -> Column:
     return F.lower(F.concat(*map(table, range(3))))
 
 
-def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
     """``doc_id, text, edited, keys, next_keys``: every text, its edited form and the digests of its next document.
 
     The edited form has its last quarter of code points replaced by as many first ones of the next document (or all).
@@ -173,9 +193,9 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.nullif("at", least).alias("doc_id"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_keys")
 
 
-def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
     """Fingerprints of every text and its edited form, and the text's likeness to that and to the next document."""
-    rows = edited_pairs(docs, id_col=id_col, text_col=text_col)
+    rows = edited_pairs(docs, id_col=id_col, text_col=text_col, digests=digests)
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"), fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),

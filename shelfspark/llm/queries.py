@@ -69,7 +69,7 @@ def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.compare_next(table(spark, sf_dir, "documents"))
+    return iblt.compare_next(table(spark, sf_dir, "documents"), digests=iblt.whole_digests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

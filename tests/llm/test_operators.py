@@ -286,3 +286,12 @@ def test_candidates_of_near_copies():
     (ka, _), (kb, _) = (simhash.band_keys(*simhash.shingle_sets(simhash.pa.array(t)), 1000) for t in (a, b))
     assert (simhash.jaccard(simhash.pa.array(a), simhash.pa.array(b)) == 0.8).all()
     assert ((ka == kb).any(1)).sum() >= 998
+
+
+def test_edited_quarter_leaves_shared_digests(spark, tmp_path):
+    """One-line texts in Cyrillic, capitals, Chinese and without any sentence end, through the registered query."""
+    words = lambda n: [hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(n)]
+    texts = [" ".join(f"Слово {i} стоит тут." for i in range(60)), " ".join(f"NUMBER {i} STANDS." for i in range(60)), "".join(f"第{i}句话。" for i in range(60)), " ".join(words(400)), " ".join(f"A line {i} says so." for i in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op10_fingerprint"](spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(0.3 < r.near_edited < 0.95 for r in got), [(r.doc_id, r.near_edited) for r in got]
