@@ -116,7 +116,7 @@ def rules() -> list[Rule]:
     out = [Rule(label, phrase(words), (words.split()[-1] if label != "cc-by" else "cc",), 0, True) for words, label in BASE.items()]
     loose = lambda p: p.replace(" ?", GAP[:-1] + "*").replace(" ", GAP)
     edge = lambda p: rf"(?<!{WORD})(?:{p})(?!{WORD})"
-    verb = f"(?:{GAP}version|{GAP}v|{GAP}v(?=[0-9]))?"
+    verb = f"(?:{GAP}version|{GAP}v|v(?=[0-9]))?"
     for label, name, keys, versions in FAMILIES:
         for v in versions:
             major, minor = v.split(".")
@@ -157,10 +157,12 @@ class Scanner:
         self.automaton.make_automaton()
 
     def due(self, low: str) -> list[int]:
-        """The rules that have a keyword in the text as a whole word."""
+        """The rules that have a keyword in the text as a whole word, or with "v" and a digit right after it."""
         found = set()
         for end, (n, which) in self.automaton.iter(low):
-            if not (end + 1 < len(low) and _word(low[end + 1])) and not (end >= n and _word(low[end - n])):
+            tail = low[end + 1 : end + 3]
+            versioned = len(tail) == 2 and tail[0] == "v" and "0" <= tail[1] <= "9"
+            if (versioned or not (tail and _word(tail[0]))) and not (end >= n and _word(low[end - n])):
                 found.update(which)
         return sorted(found)
 

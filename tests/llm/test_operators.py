@@ -295,3 +295,10 @@ def test_edited_quarter_leaves_shared_digests(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.queries()["op10_fingerprint"](spark, str(tmp_path)).collect()
     assert len(got) == 5 and all(0.3 < r.near_edited < 0.95 for r in got), [(r.doc_id, r.near_edited) for r in got]
+
+
+def test_versions_right_after_the_name():
+    scanner = licenses.Scanner()
+    for text, label in (("GPLv3", "gpl-3.0"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("MPLv2", "mpl-2.0"), ("GPLv2 or later", "gpl-2.0-or-later")):
+        assert [r.label for _, _, r in scanner.detections(licenses.lower_ascii(f"Under {text}, as is"))[1]] == [label]
+    assert not scanner.detections("gplvx and gplv are no versions")[1]
