@@ -49,24 +49,53 @@ def strings(texts: pa.Array) -> list[str]:
     return pc.fill_null(texts, "").to_pylist()
 
 
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all machines share; only a local session without one gets one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = context.getConf().get("spark.checkpoint.dir")
+        if not own and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="shelfspark-"))
+    return context.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder that the executors share and go on from the written rows."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shelfspark-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    tables(spark).append(path)
     return out
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """The paths of the tables that :func:`saved` wrote in this session and that still exist."""
+    context = spark.sparkContext
+    if not hasattr(context, "_shelfspark_tables"):
+        context._shelfspark_tables = []
+    return context._shelfspark_tables
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that :func:`saved` wrote and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, df._saved_at)
+
+
+def swept(df: DataFrame, before: list[str]) -> DataFrame:
+    """Delete all tables written since ``before`` (a copy of :func:`tables`) but ``df``, which no longer needs them."""
+    for path in [p for p in tables(df.sparkSession) if p not in before and p != df._saved_at]:
+        _delete(df.sparkSession, path)
+    return df
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if at in tables(spark):
+        tables(spark).remove(at)
 
 
 def ship(spark: SparkSession) -> None:
@@ -84,6 +113,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator reads, under fixed names, so that other columns never clash."""
+    """Only the two columns that an operator reads, under fixed names, so that other columns never clash.
+
+    Ids are whole numbers; a text that is none stops the job instead of becoming null.
+    """
     ship(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

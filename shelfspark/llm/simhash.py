@@ -6,10 +6,14 @@ that close pairs share some (of 7 blocks, 4 differing bits leave at least 3 whol
 shared blocks and are then verified by their Hamming distance.  Three blocks hold 27 bits or more, so chance meetings
 stay rare even among hundreds of millions of fingerprints.
 
-Equal fingerprints are one node, whatever their number.  A small bucket is joined with itself.  A bucket of more than
-``small`` nodes (a group of near copies) is dealt out as pairs of bounded chunks, each of which yields only links
-that span it, at most one for a node; so no bucket is gathered in one task and no group's pairs are written out.
-Components come from alternating large-star and small-star rounds over the links, each round's result is written to the shared checkpoint folder.
+Equal fingerprints are one node, whatever their number.  The nodes of a bucket are compared with each other; nodes of
+a bucket of more than ``small`` (a group of near copies) are linked through midpoints instead: two fingerprints differ
+in at most 4 bits exactly if flipping at most 2 bits of either can give the same value, so each is sent to all its
+values of at most 2 flips, and what meets in a value (at most as many as it has neighbours) is linked to the least
+there.  So a node costs a bounded number of comparisons or rows, however large its group.
+
+Components come from alternating large-star and small-star rounds over the links; each round's result is written to the
+shared checkpoint folder.  Rows of a hot fingerprint, and links of a hub, are dealt over parts (:mod:`skew`).
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a text of fewer words than a
 shingle has one shingle of all its words; repeated rows share their fingerprint; a null id takes part, and a
@@ -26,10 +30,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfspark.llm._batches import dropped, flat, runs, saved, two
+from shelfspark.llm._batches import dropped, flat, runs, saved, ship, two
+from shelfspark.llm.skew import salted
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -118,63 +124,44 @@ def _distance(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a, b, strict=True)))
 
 
-def links(nodes: DataFrame, radius: int, *, signature: list[str], small: int = 24, chunk: int = 1024) -> DataFrame:
-    """Links ``u, v`` (u < v) between nodes that share a key and differ in at most ``radius`` signature bits.
+def midpoints(fp: Column, flips: int) -> Column:
+    """All values that differ from a 64-bit fingerprint in at most ``flips`` (up to 2) bits."""
+    bit = [1 << b if b < 63 else -(1 << 63) for b in range(64)]
+    masks = [0, *bit] if flips else [0]
+    if flips > 1:
+        masks += [p ^ q for p, q in combinations(bit, 2)]
+    return F.transform(F.array(*map(F.lit, masks)).cast("array<bigint>"), lambda m: fp.bitwiseXOR(m))
+
+
+def links(nodes: DataFrame, radius: int = 4, *, small: int = 4096) -> DataFrame:
+    """Links ``u, v`` (u < v) of fingerprints (``nodes``: a unique long ``node``) that connect all within ``radius`` bits.
 
-    ``nodes`` has a unique long ``node``, an array of long ``keys`` and the signature's long columns.  Every such pair
-    is linked or, in a large bucket, connected through links inside the bucket.
+    All linked pairs differ in at most ``radius`` bits.  Pairs of a bucket of at most ``small`` nodes are all linked; other
+    close pairs are connected through links.  ``radius`` is 4 or less, which the blocks allow for.
     """
-    rows = nodes.select("node", *[c for c in signature if c != "node"], F.explode("keys").alias("key"))
+    if not 0 <= radius <= 4:
+        raise ValueError("radius must be 0 to 4")
+    rows = nodes.select("node", F.explode(block_keys(F.col("node"))).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(buckets, "key")
-    few = rows.where(F.col("n") <= small).drop("n")
+    few = rows.join(buckets.where(F.col("n") <= small).select("key"), "key")
     a, b = few.alias("a"), few.alias("b")
-    near = _distance([F.col(f"a.{c}") for c in signature], [F.col(f"b.{c}") for c in signature]) <= radius
+    near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= radius
     out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    many = rows.where(F.col("n") > small).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "own", "other", "n")
-
-    def span(group: pd.DataFrame) -> pd.DataFrame:
-        node = group["node"].to_numpy()
-        words = [group[c].to_numpy().view(np.uint64) for c in signature]
-        label = spanning(words, radius)
-        link = np.flatnonzero(label != np.arange(len(node)))
-        u, v = node[link], node[label[link]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    hot = many.groupBy("key", "i", "j").applyInPandas(span, "u long, v long")
-    return out.unionAll(hot).where("u <> v").distinct()
-
-
-def spanning(words: list[np.ndarray], radius: int) -> np.ndarray:
-    """For each row the place of a row in the same component at that radius; one row of a component is its own."""
-    n = len(words[0])
-    near = np.empty((n, n), bool)
-    for a in range(0, n, 256):
-        d = np.zeros((min(256, n - a), n), np.uint16)
-        for w in words:
-            d += np.bitwise_count(w[a : a + 256, None] ^ w[None, :])
-        near[a : a + 256] = d <= radius
-    label = np.full(n, -1)
-    for seed in range(n):
-        if label[seed] >= 0:
-            continue
-        front = np.array([seed])
-        label[seed] = seed
-        while len(front):
-            reach = near[front].any(0) & (label < 0)
-            front = np.flatnonzero(reach)
-            label[front] = seed
-    return label
+    many = saved(rows.join(buckets.where(F.col("n") > small).select("key"), "key").select("node").distinct())
+    # of an odd radius one side flips one bit more; those of fewer flips are within the radius of all that they meet
+    wide, narrow = (radius + 1) // 2, radius // 2
+    half = many.select("node", F.posexplode(midpoints(F.col("node"), wide)).alias("pos", "point"))
+    inner = F.col("pos") < (1, 65, 1 + 64 + 64 * 63 // 2)[narrow]
+    met = half.select("node", F.min(F.when(inner, F.col("node"))).over(Window.partitionBy("point")).alias("u")).where("u <> node").distinct()
+    return out.unionAll(met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node that has a link; root is the smallest node reachable.
 
-    Alternates large-star and small-star rounds until the links no longer change; every round is written to the shared checkpoint folder.
+    Alternates large-star and small-star rounds until the links no longer change; every round is written to the shared
+    checkpoint folder, and the links of a hub are dealt over parts.
     """
     edges = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
@@ -183,12 +170,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours move to the least of all
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = saved(salted(edges, least, ["u"]).select(F.col("m").alias("u"), "v").where("u <> v").distinct())
         # small star: a node and its smaller neighbours move to the least of those
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        new = large.join(low, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b").unionAll(low.select(F.col("m").alias("a"), F.col("v").alias("b")))
+        new = salted(large, low, ["v"]).select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b").unionAll(low.select(F.col("m").alias("a"), F.col("v").alias("b")))
         old, edges = edges, saved(new.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         dropped(old)
+        dropped(large)
         after = mark(edges)
         if after == before:
             break
@@ -197,15 +185,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def label_components(docs: DataFrame, *, radius: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id``: fingerprints link at ``radius`` or fewer differing bits."""
+    """``doc_id, fingerprint, component_id``: fingerprints link at ``radius`` (4 or fewer) differing bits."""
     prints = saved(fingerprint(docs, k=k, id_col=id_col, text_col=text_col))
     nodes = saved(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least_id")))
-    edges = links(nodes.select("node", block_keys(F.col("node")).alias("keys")), radius, signature=["node"])
-    roots = saved(components(edges))
-    ids = roots.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = roots.join(ids, "root").select("node", "component_id")
-    of_node = nodes.join(known, "node", "left").select(F.col("node").alias("fp"), F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(of_node, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    roots = saved(components(links(nodes.select("node"), radius)))
+    of_node = saved(labelled(nodes, roots)).withColumnRenamed("node", "fp")
+    return salted(prints, of_node, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, component_id`` of all nodes (``node, least_id``): the least id of the nodes of the same root."""
+    members = saved(roots.join(nodes, "node"))
+    ids = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    known = salted(members.select("node", "root"), ids, ["root"]).select("node", "component_id")
+    return nodes.join(known, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
 
 
 #: Of near copies: words of the fingerprint of shingles, and bands and rows of the least hashes that find candidates.
@@ -280,8 +273,9 @@ def alike(pairs: DataFrame, texts: DataFrame, similar: float, k: int) -> DataFra
             near = pa.array(jaccard(batch.column("a"), batch.column("b"), k) >= similar)
             yield batch.select(["u", "v"]).filter(near)
 
+    pairs = saved(pairs)
     a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
+    return salted(pairs, a, ["u"]).join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u binary, v binary")
 
 
 def _unlinked(rows: DataFrame, radius: int, signature: list[str], small: int = 24, chunk: int = 1024) -> DataFrame:
@@ -297,58 +291,83 @@ def _unlinked(rows: DataFrame, radius: int, signature: list[str], small: int = 2
     many = many.select("key", "node", "root", *signature, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def span(group: pd.DataFrame) -> pd.DataFrame:
-        node, root = group["node"].to_numpy(), group["root"].to_numpy()
+        node, at = np.unique(group["node"].to_numpy(), return_inverse=True)
+        root = np.unique(group["root"].to_numpy(), return_inverse=True)[1]
         words = [group[c].to_numpy().view(np.uint64) for c in signature]
-        us, vs = [node[:0]], [node[:0]]
-        for x in range(0, len(node), 256):
+        us, vs = [at[:0]], [at[:0]]
+        for x in range(0, len(at), 256):
             d = sum(np.bitwise_count(w[x : x + 256, None] ^ w[None, :]).astype(np.uint16) for w in words)
-            p, q = np.nonzero((d <= radius) & (root[x : x + 256, None] != root[None, :]) & (node[x : x + 256, None] < node[None, :]))
-            us.append(node[p + x])
-            vs.append(node[q])
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+            p, q = np.nonzero((d <= radius) & (root[x : x + 256, None] != root[None, :]) & (at[x : x + 256, None] < at[None, :]))
+            us.append(at[p + x])
+            vs.append(at[q])
+        return pd.DataFrame({"u": node[np.concatenate(us)], "v": node[np.concatenate(vs)]})
 
-    return out.unionAll(many.groupBy("key", "i", "j").applyInPandas(span, "u long, v long")).distinct()
+    return out.unionAll(many.groupBy("key", "i", "j").applyInPandas(span, "u binary, v binary")).distinct()
 
 
-def near_copies(docs: DataFrame, *, k: int = 5, similar: float = 0.8, radius: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of texts linked by a similarity of ``similar`` or more of their distinct shingles.
+def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with a long ``_id`` and a string ``_text``) written with their ``_node``, and ``node, component_id`` of all nodes.
 
-    Texts of equal shingles are one node.  Candidates share a band of least hashes, whatever the edit looks like: of
-    pairs at 0.8, all but 7 in 100,000 share one of 24 bands of 5.  Their 256-bit SimHash fingerprints may then differ
-    in ``radius`` bits, far above the 39 expected at 0.8 (deviation 6; 48 for the shortest texts), and what passes is
-    decided by the similarity itself, from the texts.  Each bucket is first compared with one of its nodes; only pairs
-    that this leaves in different components are compared after that.
+    Texts of equal shingles are one node, named by 128 bits of a hash of those; the least ``_id`` names a component.
+    Candidates share a band of least hashes, whatever the edit looks like: of pairs at 0.8, all but 7 in 100,000 share
+    one of 24 bands of 5.  Their 256-bit SimHash fingerprints may then differ in ``radius`` bits, far above the 39 expected
+    at 0.8 (deviation 6; 48 for the shortest texts), and what passes is decided by the similarity itself, from the texts.
+    Each bucket is first compared with one of its nodes; only pairs that this leaves in different components are compared
+    after that.
     """
-    names = [f"s{c}" for c in range(CHECK)]
+    names, columns = [f"s{c}" for c in range(CHECK)], rows.columns
+    own = [f"_{c}" for c in ("node", *names, "keys")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
-            texts = batch.column("text")
+        for batch in runs(batches, "_text"):
+            texts = batch.column("_text")
             n = len(texts)
             g, of = shingle_sets(texts, k)
             keys, sizes = band_keys(g, of, n)
             check = majority(_mixed(g, CHECK), of, n)
             bounds = np.searchsorted(of, np.arange(n + 1)).tolist()
-            node = np.fromiter((xxhash.xxh64_intdigest(g[x:y].tobytes(), 42) for x, y in zip(bounds, bounds[1:], strict=False)), np.uint64, n)
+            node = pa.array([xxhash.xxh3_128_digest(g[x:y].tobytes()) for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64)), *(pa.array(check[:, c].copy().view(np.int64)) for c in range(CHECK)), lists, texts], ["doc_id", "node", *names, "keys", "text"])
-
-    prints = saved(two(docs, id_col, text_col).mapInArrow(work, f"doc_id long, node long, {', '.join(f'{c} long' for c in names)}, keys array<long>, text string"))
-    nodes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in names), F.min("keys").alias("keys")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), node, *(pa.array(check[:, c].copy().view(np.int64)) for c in range(CHECK)), lists], [*columns, *own])
+
+    kinds = {"_node": "binary", "_keys": "array<bigint>"}
+    schema = rows.schema
+    for c in own:
+        schema = T.StructType([*schema, T.StructField(c, T.DataType.fromDDL(kinds.get(c, "bigint")))])
+    prints = saved(rows.mapInArrow(work, schema))
+    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), *(F.min(f"_{c}").alias(c) for c in names), F.min("_keys").alias("keys")))
     rows = nodes.select("node", *names, F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", *names)).alias("hub")).where("n > 1")
-    rows = saved(rows.join(buckets, "key"))
+    rows = saved(salted(rows, buckets, ["key"]))
     met = rows.select("node").distinct()
-    texts = saved(prints.select("node", "text").join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    texts = saved(prints.select(F.col("_node").alias("node"), F.col("_text").alias("text")).join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     to_hub = _distance([F.col(c) for c in names], [F.col(f"hub.{c}") for c in names]) <= radius
     first = saved(alike(rows.where((F.col("node") != F.col("hub.node")) & to_hub).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), texts, similar, k))
-    linked = rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = saved(rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = linked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = saved(linked.where(F.col("node") != F.col("hub.node")).drop("hub").join(open_, "key", "left_semi"))
+    left = saved(salted(linked.where(F.col("node") != F.col("hub.node")).drop("hub"), open_, ["key"]))
     second = alike(_unlinked(left, radius, names), texts, similar, k)
-    roots = saved(components(first.unionAll(second)))
-    ids = roots.join(nodes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = roots.join(ids, "root").select("node", "component_id")
-    of_node = nodes.select("node", "least_id").join(known, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    return prints, saved(labelled(nodes.select("node", "least_id"), saved(components(first.unionAll(second)))))
+
+
+def near_copies(docs: DataFrame, *, k: int = 5, similar: float = 0.8, radius: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of texts linked by a similarity of ``similar`` or more of their distinct shingles."""
+    rows = two(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    prints, of_node = near_nodes(rows, k, similar, radius)
+    return salted(prints.select("_id", "_node"), of_node.withColumnRenamed("node", "_node"), ["_node"]).select(F.col("_id").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, k: int = 5, similar: float = 0.8, radius: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns, of each component of near copies: that of the smallest id, ids that are null last.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, stay if their texts are unlike;
+    of rows that are alike and share their id one stays.
+    """
+    ship(docs.sparkSession)
+    names = docs.columns
+    given = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[text_col].cast("string").alias("_text"), docs[id_col].cast("long").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    prints, of_node = near_nodes(given.withColumn("_id", F.col("_row")), k, similar, radius)
+    rows = salted(prints.select("_row", "_doc", "_node"), of_node.withColumnRenamed("node", "_node"), ["_node"])
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
+    return prints.join(kept, "_row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

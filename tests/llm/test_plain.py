@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +56,6 @@ def test_fingerprints_of_any_texts(texts):
     assert simhash.fingerprints(pa.array(texts, pa.string())).tolist() == [plain_fingerprint(t) for t in texts]
 
 
-def test_spanning_keeps_components():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(200)], np.uint64)
-    words = np.unique(base[rng.integers(0, 40, 200)] ^ flips)
-    label = simhash.spanning([words], 4)
-    near = np.bitwise_count(words[:, None] ^ words[None, :]) <= 4
-    reach = near
-    while (new := (reach.astype(np.int32) @ reach.astype(np.int32)) > 0).sum() != reach.sum():
-        reach = new
-    assert ((label[:, None] == label[None, :]) == reach).all()
-
-
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.integers(1, 384), max_size=300))
 def test_packing_holds_everything_once(sizes):
@@ -103,10 +91,35 @@ def test_intervals_inside_others_are_suppressed():
     assert [licenses._inside(spans, *x) for x in ((5, 9), (6, 8), (1, 7), (5, 9), (0, 20), (6, 19))] == [False, True, False, True, False, True]
 
 
-def test_schedule_is_longest_first():
-    where = sharding.schedule([(str(i), s) for i, s in enumerate([7, 6, 5, 4, 3, 2])], 3)
-    loads = [sum(s for i, s in enumerate([7, 6, 5, 4, 3, 2]) if where[str(i)] == k) for k in range(3)]
-    assert sorted(loads) == [9, 9, 9]
+def plain_schedule(sizes, shards):
+    loads, went = [0.0] * shards, []
+    for size in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda s: (loads[s], s))
+        loads[s] += size
+        went.append((size, s))
+    return loads, Counter(went)
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.integers(1, 60), max_size=400), st.integers(1, 6))
+def test_schedule_is_longest_first(sizes, shards):
+    """Whole classes at once give each shard what the heap gives it one by one."""
+    loads, went = [0.0] * shards, Counter()
+    for size, upto in sharding.schedule([(s, n, s * n) for s, n in Counter(sizes).items()], shards):
+        for s, n in enumerate(b - a for a, b in zip([0, *upto], upto, strict=False)):
+            loads[s] += n * size
+            went[size, s] += n
+    assert (loads, +went) == plain_schedule(sizes, shards)
+
+
+def test_many_added_tokens_are_cut_at_once():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["<|endoftext|>" * 8000, "a<|endoftext|><|endoftext|>b", "", "<|endoftext|> x", "plain"]
+    ids, bounds = bpe.BatchBPE(path).encode(texts)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "x" * 576, "é" * 3000, "\x00ÿ" * 700])
@@ -144,6 +157,70 @@ def test_ordinal_model_orders_grades():
     assert model.tails(texts)[:2].sum() == 0
 
 
+@pytest.mark.parametrize("levels", [2, 4, 6])
+def test_thresholds_stay_ordered(levels):
+    rng = np.random.default_rng(levels)
+    grades = np.sort(rng.integers(0, levels, 600)) if levels != 4 else np.repeat([0, 3], 300)  # of four grades two are never given
+    rows = [np.unique(rng.integers(100, 3000, 15)) for _ in grades]
+    assert (np.diff(quality.train(rows, grades, levels).thresholds) > 0).all()
+
+
+def plain_shots(hist, window=12, times=2.0, least=0.05):
+    d = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 2 for a, b in zip(hist, hist[1:], strict=False)]
+    begin = [0]
+    for i, x in enumerate(d):
+        before = d[max(0, i - window) : i]
+        mean = sum(before) / len(before) if before else 0
+        limit = max(mean + times * (sum((y - mean) ** 2 for y in before) / len(before)) ** 0.5, least) if len(before) >= 3 else 2 * least
+        if x > limit:
+            begin.append(i + 1)
+    return begin
+
+
+def test_shots_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        steps = rng.random((rng.integers(1, 60), 16)) ** rng.integers(1, 9)
+        hist = steps / steps.sum(1, keepdims=True)
+        assert avi.shots(hist)[0].tolist() == plain_shots(hist.tolist())
+
+
+def test_plus_versions_and_spdx_lines():
+    scanner = licenses.Scanner()
+    for text, labels in (("GPLv2+", ["gpl-2.0-or-later"]), ("LGPLv2.1+", ["lgpl-2.1-or-later"]), ("SPDX-License-Identifier: (Apache-2.0 OR MIT)", ["spdx", "apache-2.0", "mit"]), ("SPDX-License-Identifier: GPL-2.0-or-later", ["spdx", "gpl-2.0-or-later"]), ("released under the MIT License", ["mit"])):
+        assert [r.label for _, _, r in scanner.detections(licenses.lower_ascii(text))[1]] == labels, text
+
+
+def plain_detections(rules, low):
+    """All rules on the text, without keywords; of two where one holds the other the more important stays."""
+    hits = [(r, *(m.span("at") if "at" in m.re.groupindex else m.span())) for r in rules if not r.base for m in re.finditer(r.pattern, low)]
+    hits.sort(key=lambda h: (-h[0].priority, h[1] - h[2], h[1], h[0].label))
+    kept = []
+    for r, a, b in hits:
+        if not any(x <= a and b <= y for _, x, y in kept):
+            kept.append((r, a, b))
+    return sorted((a, b, r.label) for r, a, b in kept)
+
+
+def sample(pattern, which):
+    """A text that a signature means: of alternatives the first or last, of classes the first."""
+    pattern = re.sub(r"\[(.)[^\]]*\](?:\{(\d)[^}]*\})?", lambda m: m[1] * int(m[2] or 1), pattern).replace(".{1,120}?", "some name").replace(".{1,40}?", "copy")
+    while (new := re.sub(r"\(\?:([^()]*)\)[?*]?", lambda m: m[1].split("|")[which], pattern)) != pattern:
+        pattern = new
+    return re.sub(r"\\|.\?(?=\S)|\?", lambda m: m[0][0] if m[0][0].isalpha() else "", pattern)
+
+
+def test_license_rules_by_brute_force():
+    scanner = licenses.Scanner()
+    texts = [sample(line.split(" | ", 3)[3], i) for line in licenses.SIGNATURES.strip().splitlines() for i in (0, -1)]
+    assert sum(bool(scanner.detections(licenses.lower_ascii(t))[1]) for t in texts) > 0.9 * len(texts)
+    texts += ["GPLv3, the GNU GPL v3 or later; LGPL-2.1-only. CC BY-SA 4.0 / cc-by-nc 3.0", "Creative Commons Attribution-ShareAlike 4.0 International", "x mitx license gplv3x", ""]
+    texts.append(" ... ".join(texts))
+    for text in texts:
+        low = licenses.lower_ascii(text)
+        assert sorted((a, b, r.label) for a, b, r in scanner.detections(low)[1]) == plain_detections(scanner.rules, low), text
+
+
 def test_language_model_without_rows_knows_nothing():
     assert langid.LanguageModel().predict(pa.array(["hallo", None]))[0] == ["und", "und"]
     assert langid.family_of("fr") == langid.family_of("es") != langid.family_of("en") and langid.family_of("xx") == "xx"
