@@ -1,16 +1,22 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs (lines, and in long lines runs of sentences) are digested to 64 bits: 48 of a hash and 16 that check it.  Each
-distinct digest goes into one cell of each of three subtables, and a cell holds the XOR of its digests.  Subtracting
-one version's cells from another's, by XOR, cancels what both hold.  Peeling then takes cells that hold one digest
-(its check fits, and it belongs into that cell), removes that digest from its other cells and goes on until nothing is
-left, which recovers the differing digests.  If it sticks, the sketch was too small and a four times larger one is
-tried.  Cells are kept sparse, so adding, subtracting and removing are one operation: XOR what falls into a cell.
+A text's paragraphs (lines, and in long lines runs of sentences) are digested to 64 bits: 48 of a hash and 16 that check
+it.  Each distinct digest goes into one cell of each of three subtables, and a cell holds the XOR of its digests.
+Subtracting one version's cells from another's, by XOR, cancels what both hold.  Peeling then takes cells that hold one
+digest (its check fits, and it belongs into that cell), removes that digest from its other cells and goes on until
+nothing is left, which recovers the differing digests.  If it sticks, the sketch was too small and a four times larger
+one is tried, until one succeeds.
+
+A fingerprint is the least sketch of that ladder from which its own digests can be listed, so it depends on the text
+alone and can be inverted.  Two fingerprints are compared by nothing but themselves: the smaller one is listed and
+brought to the size of the larger, the two are subtracted and the difference is peeled; if that sticks, both are listed
+and brought to the next size.  So what a document sends to the one before is its fingerprint and the characters that
+the edited text needs, and :func:`read` with :func:`with_likeness` gives the same likeness from the returned strings.
 
 Defined results: null counts as the empty text, which has no paragraphs and likeness 1 to another such text and 0 to
-any other; repeated paragraphs count once; if no size is left, the two digest sets are compared directly; a table of
-one document has itself as next; rows of one doc_id share the document before them, which sees the first text of them
-in the order of hashes; extra columns are ignored.
+any other; repeated paragraphs count once; a table of one document has itself as next; rows of one doc_id share the
+document before them, which sees the first text of them in the order of hashes; a null doc_id comes first, together with
+the least long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.neighbours import with_next
+from shelfspark.llm.skew import SHARE
 
-#: Tries, each with subtables four times larger, and the most cells of a subtable: digests have 16 bits for each.
-TRIES, MOST = 4, 1 << 16
-BASE_CELLS = 8
+#: Each size of the ladder is four times the one before; the last is beyond what any text can need.
+TRIES = 14
+LEAST_CELLS = 8
+#: Up to this size a digest's own bits place it; beyond it, a hash of the digest does.
+OWN_BITS = 1 << 16
 CHECK = 0xFFFF
 
 
@@ -71,7 +80,8 @@ def whole_digests(text: Column) -> Column:
 
 def cell_of(key: Column, j: int, size: Column) -> Column:
     """The place of a digest's cell in subtable ``j``; the subtables' cells follow each other."""
-    return F.shiftrightunsigned(key, 16 + 16 * j).bitwiseAND(size - 1) + size * j
+    own = F.shiftrightunsigned(key, 16 + 16 * j)
+    return F.when(size <= OWN_BITS, own).otherwise(F.xxhash64(key, F.lit(j))).bitwiseAND(size - 1) + size * j
 
 
 def _places(keys: Column, size: Column, base: Column) -> Column:
@@ -101,14 +111,22 @@ def _gathered(places: Column, keys: Column) -> Column:
 
 
 def sketch(keys: Column, size: Column) -> Column:
-    """The cells of these digests.  The sketch of two lists in a row is that of one subtracted from the other's."""
+    """The cells of these digests."""
     return _gathered(_places(keys, size, F.lit(0)), keys)
 
 
-def peeled(cells: Column, size: Column, rounds: int = 30) -> Column:
+def subtracted(a: Column, b: Column) -> Column:
+    """The cells of one sketch less those of another of the same size."""
+    at = lambda x, i: F.shiftleft(x["c"], 32).bitwiseOR(i.cast("long"))
+    return let(F.concat(a, b), lambda cells: let(F.transform(cells, lambda x: x["k"]), lambda keys: _gathered(F.transform(cells, at), keys)))
+
+
+def peeled(cells: Column, size: Column, rounds: int = 60) -> Column:
     """``ok, found``: the digests that the cells hold, and whether all could be recovered."""
-    none = F.array().cast("array<bigint>")
-    state = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("going"), F.lit(False).alias("ok"))
+    xor = lambda keys, start: F.aggregate(keys, start, lambda x, k: x.bitwiseXOR(k))
+    # the cells of one subtable hold every digest once, so what is left of their XOR tells whether all have been found
+    whole = F.aggregate(cells, F.lit(0).cast("long"), lambda t, x: F.when(x["c"] < size, t.bitwiseXOR(x["k"])).otherwise(t))
+    step = lambda cells, found, left, going, ok: F.struct(cells.alias("cells"), found.alias("found"), left.alias("left"), going.alias("going"), ok.alias("ok"))
 
     def pure(x: Column) -> Column:
         k = x["k"]
@@ -116,89 +134,143 @@ def peeled(cells: Column, size: Column, rounds: int = 30) -> Column:
         at = F.when(x["c"] < size, cell_of(k, 0, size)).when(x["c"] < 2 * size, cell_of(k, 1, size)).otherwise(cell_of(k, 2, size))
         return fits & (at == x["c"])
 
-    xor = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(k))
-    # the cells of one subtable hold every digest once, so their XOR tells whether all have been found
-    whole = F.aggregate(cells, F.lit(0).cast("long"), lambda t, x: F.when(x["c"] < size, t.bitwiseXOR(x["k"])).otherwise(t))
+    def rest(s: Column, new: Column) -> Column:
+        here = F.transform(s["cells"], lambda x, i: F.shiftleft(x["c"], 32).bitwiseOR(i.cast("long")))
+        return let(F.concat(F.transform(s["cells"], lambda x: x["k"]), new), lambda keys: _gathered(F.concat(here, _places(new, size, F.size(s["cells"]))), keys))
 
-    def turn(s: Column, total: Column) -> Column:
+    def turn(s: Column) -> Column:
         def after(new: Column) -> Column:
-            left = F.size(s["cells"])
-            places = F.concat(F.transform(s["cells"], lambda x, i: F.shiftleft(x["c"], 32).bitwiseOR(i.cast("long"))), _places(new, size, left))
-            rest = let(F.concat(F.transform(s["cells"], lambda x: x["k"]), new), lambda keys: _gathered(places, keys))
-            found = F.concat(s["found"], new)
-            step = lambda c, f, going, ok: F.struct(c.alias("cells"), f.alias("found"), F.lit(going).alias("going"), F.lit(ok).alias("ok"))
-            return F.when(xor(found) == total, step(s["cells"], found, False, True)).when(F.size(new) == 0, step(s["cells"], found, False, False)).otherwise(step(rest, found, True, False))
+            found, left = F.concat(s["found"], new), xor(new, s["left"])
+            last = F.lit(False)
+            return F.when(left == 0, step(s["cells"], found, left, last, F.lit(True))).when(F.size(new) == 0, step(s["cells"], found, left, last, last)).otherwise(step(rest(s, new), found, left, F.lit(True), last))
 
-        new = F.array_distinct(F.transform(F.filter(s["cells"], pure), lambda x: x["k"]))
-        return F.when(s["going"], let(new, after)).otherwise(s)
+        return let(F.array_distinct(F.transform(F.filter(s["cells"], pure), lambda x: x["k"])), after)
 
-    run = lambda total: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, lambda s, _: turn(s, total), lambda s: F.struct(s["ok"].alias("ok"), s["found"].alias("found")))
-    return let(whole, run)
+    start = step(cells, F.array().cast("array<bigint>"), whole, F.size(cells) > 0, F.size(cells) == 0)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(s["going"], turn(s)).otherwise(s), lambda s: F.struct(s["ok"].alias("ok"), s["found"].alias("found")))
 
 
-def difference(a: Column, b: Column, first: Column) -> Column:
-    """The digests in one of ``a`` and ``b`` only, from their sketches subtracted and peeled.
+def _grown(least: Column, t: Column) -> Column:
+    return F.call_function("shiftleft", least, 2 * t)
 
-    Subtables begin with four cells for each of ``first`` expected digests, so that most are alone in a cell, and are four times larger with each try.
-    """
-    state = F.struct(F.lit(False).alias("ok"), F.array().cast("array<bigint>").alias("found"))
-    start = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(first * 4, F.lit(16))))).cast("long")
 
-    def attempts(both: Column) -> Column:
-        size = lambda t: F.least(start * F.pow(F.lit(4), t), F.lit(MOST)).cast("long")
-        attempt = lambda t: let(size(t), lambda m: peeled(sketch(both, m), m))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), state, lambda s, t: F.when(s["ok"], s).otherwise(attempt(t)))
+def _first_whole(attempt: Callable[[Column], Column], kind: str, tries: Column) -> Column:
+    """The first of the attempts 0, 1, ... (structs with ``ok``) that succeeds; the sizes grow until one does."""
+    return F.aggregate(tries, F.lit(None).cast(kind), lambda s, t: F.when(s["ok"], s).otherwise(attempt(t)), lambda s: F.when(s["ok"], s).otherwise(F.raise_error(F.lit("no sketch could be peeled")).cast(kind)))
+
 
-    direct = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return let(let(F.concat(a, b), attempts), lambda s: F.when(s["ok"], s["found"]).otherwise(direct))
+def _cells(f: Column) -> Column:
+    return F.arrays_zip(f["c"], f["k"]).cast("array<struct<c:bigint,k:bigint>>")
 
 
-def likeness(a: Column, b: Column, first: Column) -> Column:
-    """Shared digests over all digests, by the recovered difference of two sketches; 1 for two empty ones."""
-    n = F.size(a) + F.size(b)
-    known = F.when(n == 0, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-    return known.otherwise(let(F.size(difference(a, b, first)), lambda d: (n - d) / (n + d)))
+def with_fingerprint(rows: DataFrame, name: str, keys: Column, first: int = LEAST_CELLS) -> DataFrame:
+    """``rows`` with the fingerprint of distinct digests: ``n`` of them, ``m`` cells a subtable, their places and contents.
 
+    ``m`` is the first of a power of two of at least ``n`` (and ``first``), four times it, and so on, from which all digests
+    can be listed.
+    """
+    kind = "struct<ok:boolean,m:bigint,cells:array<struct<c:bigint,k:bigint>>>"
+    power = F.ceil(F.log2(F.greatest(F.size("_d"), F.lit(first)))).cast("int")
+    rows = rows.withColumn("_d", keys).withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), power))
+    d, least = F.col("_d"), F.col("_m")
 
-def fingerprint(keys: Column) -> Column:
-    """The base sketch as text: for each cell of three subtables of 8 its count and the XOR of its digests."""
-    cell = lambda j, i: F.aggregate(
-        F.filter(keys, lambda k: F.shiftrightunsigned(k, 16 + 16 * j).bitwiseAND(F.lit(BASE_CELLS - 1)) == i),
-        F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k")),
-        lambda a, k: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(k).alias("k")),
-        lambda s: F.concat(F.lpad(F.hex(s["n"].cast("long")), 4, "0"), F.lpad(F.hex(s["k"]), 16, "0")),
-    )
-    table = lambda j: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BASE_CELLS - 1)), lambda i: cell(j, i)), "")
-    return F.lower(F.concat(*map(table, range(3))))
+    def attempt(t: Column) -> Column:
+        m = _grown(least, t)
+        return let(sketch(d, m), lambda cells: F.struct(peeled(cells, m)["ok"].alias("ok"), m.alias("m"), cells.alias("cells")))
+
+    rows = rows.withColumn("_s", _first_whole(attempt, kind, F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    return rows.withColumn(name, F.struct(F.size(d).alias("n"), F.col("_s.m").alias("m"), F.col("_s.cells.c").alias("c"), F.col("_s.cells.k").alias("k"))).drop("_d", "_m", "_s")
+
+
+def with_likeness(rows: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """``rows`` with the shared digests over all digests of two fingerprints; 1 for two empty ones.
+
+    The smaller one is listed and brought to the size of the larger, both are subtracted and the difference is peeled.  If
+    that sticks, both are listed and brought to four times the size, and so on.
+    """
+    kind = "struct<ok:boolean,found:array<bigint>>"
+    f, g, size = F.col(a), F.col(b), F.col("_m")
+    # nothing is compared if either is empty
+    both = (f["n"] > 0) & (g["n"] > 0)
+    listed = lambda x, when: F.when(when, peeled(_cells(x), x["m"])["found"])
+    rows = rows.withColumn("_m", F.greatest(f["m"], g["m"]))
+    rows = rows.withColumns({"_a": listed(f, both & (f["m"] < size)), "_b": listed(g, both & (g["m"] < size))})
+    at = lambda x, keys: F.when(F.col(keys).isNull(), _cells(x)).otherwise(sketch(F.col(keys), size))
+    rows = rows.withColumn("_x", F.when(both, subtracted(at(f, "_a"), at(g, "_b"))))
+    rows = rows.withColumn("_p", F.when(both, peeled(F.col("_x"), size)))
+    stuck = both & ~F.col("_p.ok")
+    rows = rows.withColumns({"_a": F.when(stuck, F.coalesce("_a", listed(f, stuck))), "_b": F.when(stuck, F.coalesce("_b", listed(g, stuck)))})
+
+    def attempt(t: Column) -> Column:
+        m = _grown(size, t)
+        return let(subtracted(sketch(F.col("_a"), m), sketch(F.col("_b"), m)), lambda cells: peeled(cells, m))
+
+    rows = rows.withColumn("_q", F.when(stuck, _first_whole(attempt, kind, F.sequence(F.lit(1), F.lit(TRIES - 1)))))
+    n, d = f["n"] + g["n"], F.size(F.coalesce(F.col("_q.found"), F.col("_p.found")))
+    like = F.when(n == 0, F.lit(1.0)).when(~both, F.lit(0.0)).otherwise((n - d) / (n + d))
+    # the guard is always true; as it isn't deterministic, a filter on the likeness is not copied down into every sketch
+    return rows.withColumn(name, F.when(F.rand(0) >= 0, like)).drop("_m", "_a", "_b", "_x", "_p", "_q")
+
+
+def written(f: Column) -> Column:
+    """A fingerprint as text: ``n``, ``m``, and each cell that is not empty as its place and content, in hexadecimal."""
+    cells = F.transform(_cells(f), lambda x: F.concat(F.hex(x["c"]), F.lit(":"), F.hex(x["k"])))
+    return F.lower(F.concat_ws(";", F.hex(f["n"].cast("long")), F.hex(f["m"]), F.array_join(cells, ",")))
+
+
+def read(text: Column) -> Column:
+    """The fingerprint that :func:`written` gave as text."""
+    number = lambda h: F.conv(h, 16, -10).cast("long")
+    part = lambda i: F.get(F.split(text, ";"), F.lit(i))
+    cells = F.filter(F.split(part(2), ","), lambda x: x != "")
+    half = lambda i: F.transform(cells, lambda x: number(F.get(F.split(x, ":"), F.lit(i))))
+    return F.struct(number(part(0)).cast("int").alias("n"), number(part(1)).alias("m"), half(0).alias("c"), half(1).alias("k"))
 
 
 def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
-    """``doc_id, text, edited, keys, next_keys``: every text, its edited form and the digests of its next document.
+    """``doc_id, text, edited, after``: every text, its edited form and the fingerprint of the next document.
 
     The edited form has its last quarter of code points replaced by as many first ones of the next document (or all).
-    The documents are shuffled once, by id; what a document gives to the one before is only the piece that it needs.
+    The documents are shuffled once, by id; what a document gives to the one before is its fingerprint and the piece that
+    the edited text needs.  An id of more than 1/1024 of all rows is dealt over parts, each of which gets a copy of that.
     """
-    least = F.lit(-(2**63)).cast("long")  # stands for a null id, which comes first
-    # the same two columns on both ways that the documents go, so that they are shuffled once
-    base = docs.select(F.coalesce(docs[id_col].cast("long"), least).alias("at"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    sizes = base.groupBy("at").agg(F.max(F.char_length("text")).alias("n"))
-    order = with_next(sizes, "at")  # at, n, next_key
+    spark = docs.sparkSession
+    least = F.lit(-(2**63)).cast("long")  # a null id comes first
+    # the same columns on both ways that the documents go, so that they are shuffled once
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("at", F.coalesce("doc_id", least))
+    order = with_next(base.groupBy("at").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("rows")), "at")  # at, n, rows, next_key
+    total = order.agg(F.sum("rows")).first()[0] or 0
+    heavy = [(r["at"], -(-r["rows"] * SHARE // total)) for r in order.where(F.col("rows") * SHARE > total).where("rows > 1").select("at", "rows").collect()]  # fewer than SHARE ids
     asked = order.select(F.col("next_key").alias("at"), F.col("at").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    known = base.join(asked, "at")
-    given = known.groupBy("at").agg(F.min(F.struct(F.xxhash64("text"), F.col("before"), F.expr("substring(text, 1, need)").alias("head"), digests(F.col("text")).alias("keys"))).alias("g"))
-    given = given.select(F.col("g.before").alias("at"), F.col("g.head").alias("head"), F.col("g.keys").alias("next_keys"))
-    n = F.char_length("text")
-    cut = F.floor(n / 4).cast("int")
-    joined = known.join(given, "at")
-    return joined.select(F.nullif("at", least).alias("doc_id"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_keys")
+
+    def given(first: DataFrame) -> DataFrame:
+        """What the texts ``first`` (one an id) give to the ids before them."""
+        return with_fingerprint(first, "after", digests(F.col("text"))).select(F.col("before").alias("at"), F.expr("substring(text, 1, need)").alias("head"), "after")
+
+    def edited(joined: DataFrame) -> DataFrame:
+        n = F.char_length("text")
+        cut = F.floor(n / 4).cast("int")
+        return joined.select("doc_id", "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "after")
+
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "before", "need")).alias("x")
+    if not heavy:
+        known = base.join(asked, "at")
+        return edited(known.join(given(known.groupBy("at").agg(one).select("x.*")), "at"))
+    parts = F.broadcast(spark.createDataFrame(heavy, "at long, parts int"))
+    known = base.join(parts.select("at"), "at", "left_anti").join(asked, "at")
+    alone = base.join(parts, "at")
+    firsts = alone.groupBy("at").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("y")).join(asked, "at").select("y.text", "before", "need")
+    gifts = given(known.groupBy("at").agg(one).select("x.text", "x.before", "x.need").unionByName(firsts))
+    dealt = alone.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).drop("parts")
+    copies = gifts.join(parts, "at").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return edited(known.join(gifts, "at")).unionByName(edited(dealt.join(copies, ["at", "part"])))
 
 
 def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
     """Fingerprints of every text and its edited form, and the text's likeness to that and to the next document."""
     rows = edited_pairs(docs, id_col=id_col, text_col=text_col, digests=digests)
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"), fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),
-        # an edited quarter changes a quarter of either side's paragraphs or so; two documents may share none
-        likeness(F.col("keys"), F.col("edited_keys"), F.size("keys") / 2).alias("near_edited"), likeness(F.col("keys"), F.col("next_keys"), F.size("keys") + F.size("next_keys")).alias("near_next"),
-    )
+    rows = with_fingerprint(with_fingerprint(rows, "own", digests(F.col("text"))), "other", digests(F.col("edited")))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "after")
+    rows = with_likeness(with_likeness(rows, "near_edited", "own", "other"), "near_next", "own", "after")
+    return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), "near_edited", "near_next")
