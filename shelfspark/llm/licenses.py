@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
-Each rule is a regular expression with a label, a priority and keywords.  One Aho-Corasick pass over the lower-cased
-text finds keywords; only rules with a keyword present are run.  Detections are taken in order of priority (then
+Each rule is a regular expression with a label, a priority and keywords: some two hundred written by hand
+(:mod:`license_rules`), and for names with versions, Creative Commons terms and SPDX identifiers one for each form.  One
+Aho-Corasick pass over the lower-cased text finds keywords; only rules with a keyword present are run.  Detections are taken in order of priority (then
 length, then place); one that lies inside an interval already taken is suppressed, so "gpl-3.0-or-later" is not also
 "gpl-3.0" and "gpl".  Base rules match the words of a fixed phrase in a row and are never suppressed.
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shelfspark.llm._batches import flat, runs, two
+from shelfspark.llm.license_rules import SIGNATURES, SPDX
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,33 +86,6 @@ CC_TERMS = {
     "cc-by": ("by", "attribution"),
 }
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Single rules: label, words, keyword.
-SINGLE = (
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd licen[sc]e)", ("clause", "simplified bsd", "freebsd")),
-    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", ("clause", "new bsd", "modified bsd", "revised bsd")),
-    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)", ("clause", "original bsd")),
-    ("bsd", "redistribution and use in source and binary forms", ("redistribution and use",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby",)),
-    ("isc", "permission to use,? copy modify and or distribute this software", ("permission to use",)),
-    ("zlib", "this software is provided as is without any express or implied warranty", ("provided",)),
-    ("apache-2.0", "www apache org licenses license 2 0", ("apache",)),
-    ("gpl", "www gnu org licenses", ("gnu",)),
-    ("gpl", "free software foundation", ("free software foundation",)),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", ("cc0", "cc zero", "commons zero")),
-    ("cc", "creative commons(?: licen[sc]e)?", ("creative commons",)),
-    ("public-domain", "(?:in|into|to) the public domain", ("public domain",)),
-    ("public-domain", "public domain dedication", ("public domain",)),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", ("proprietary",)),
-    ("proprietary", "no part of this (?:publication|work|book|document) may be reproduced", ("no part of",)),
-    ("reserved", "some rights reserved", ("some rights",)),
-    ("copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}", ("copyright",)),
-    ("copyright", r"copyrighted(?: by| material| work)", ("copyrighted",)),
-    ("warranty", "without warranties or conditions of any kind", ("without",)),
-    ("warranty", "without warranty of any kind", ("without",)),
-    ("spdx", "spdx license identifier", ("spdx",)),
-)
-
-
 def rules() -> list[Rule]:
     """All rules, most specific first."""
     out = [Rule(label, phrase(words), (words.split()[-1] if label != "cc-by" else "cc",), 0, True) for words, label in BASE.items()]
@@ -123,6 +98,7 @@ def rules() -> list[Rule]:
             number = f"{major}{GAP}{minor}" if minor.strip("0") or major == "0" else f"{major}(?:{GAP}0)?"
             ver = f"{verb}(?:{GAP})?{number}"
             out.append(Rule(f"{label}-{v}-or-later", edge(loose(name) + ver + loose("(?: or (?:at your option )?(?:any )?later(?: version)?)")), keys, 90))
+            out.append(Rule(f"{label}-{v}-or-later", edge(loose(name) + ver) + r"\+", keys, 90))
             out.append(Rule(f"{label}-{v}-only", edge(loose(name) + ver + GAP + "only"), keys, 90))
             out.append(Rule(f"{label}-{v}", edge(f"version{GAP}{number}" + loose(" of the (?:gnu )?") + loose(name)), keys, 85))
             out.append(Rule(f"{label}-{v}", edge(loose("licensed under (?:the )?(?:gnu )?") + loose(name) + ver), keys, 80))
@@ -137,7 +113,12 @@ def rules() -> list[Rule]:
             out.append(Rule(f"{label}-{v}", edge(loose("creativecommons org licenses ") + GAP.join(short.split()) + GAP + number), ("creativecommons",), 88))
         out.append(Rule(label, edge("cc" + GAP + loose(short)), ("cc",), 60))
         out.append(Rule(label, edge(loose("creative commons " + long)), ("creative commons",), 60))
-    out += [Rule(label, edge(loose(words)), keys, 20) for label, words, keys in SINGLE]
+    for line in SIGNATURES.strip().splitlines():
+        label, priority, keys, words = (part.strip() for part in line.split(" | "))
+        out.append(Rule(label, edge(loose(words)), tuple(keys.split("/")), int(priority)))
+    for name in SPDX.lower().split():
+        before = r":?(?:[( ]*[a-z0-9.+-]+[) ]+(?:or|and|with) +)*[( ]*"  # other names of the same expression
+        out.append(Rule(name, rf"(?<!{WORD})spdx{GAP}licen[sc]e{GAP}identifier{before}(?P<at>{re.escape(name)})(?![a-z0-9.+-]*[a-z0-9+])", ("spdx",), 96))
     return sorted(out, key=lambda r: (r.base, -r.priority))
 
 
@@ -171,7 +152,8 @@ class Scanner:
         base, found = [], []
         for i in self.due(low):
             rule = self.rules[i]
-            (base if rule.base else found).extend((m.start(), m.end(), rule) for m in self.compiled[i].finditer(low))
+            part = "at" if "at" in self.compiled[i].groupindex else 0  # a rule may mark what of its match it detects
+            (base if rule.base else found).extend((*m.span(part), rule) for m in self.compiled[i].finditer(low))
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
         taken: list[tuple[int, int, Rule]] = []
         spans: list[tuple[int, int]] = []  # disjoint or merely overlapping intervals, in order of start
