@@ -7,7 +7,8 @@ and one table look-up per byte is all that prediction costs.
 
 Defined results: a null text or a text without a letter is ``und`` with score 0; a text whose language family has
 one language takes that language; ties go to the alphabetically first value; with no labelled row everything is
-``und``; rows that repeat are predicted alike; extra columns are ignored.
+``und``; rows that repeat are predicted alike and learned from once; a null id is in no fold: it is predicted, with
+``held_out`` false, and never learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,21 +135,23 @@ def learnable(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400) -> LanguageModel:
-    """Fit on labelled rows outside fold 2.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int = 256) -> LanguageModel:
+    """Fit on labelled rows outside fold 2; rows without an id belong to no fold and are left out.
 
-    ``rows_per_language`` bounds the sample: from each language that many rows are expected, chosen by a hash of the id.
+    ``rows_per_language`` bounds the sample: from each of the ``languages`` most frequent values of the label at most that
+    many rows are expected, chosen by a hash of id and text; rows that repeat both count once.
     """
     rows = learnable(docs, text_col, lang_col).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    rows = rows.where(F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) != 2)
+    rows = rows.where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 2))
     ship(docs.sparkSession)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return LanguageModel()
-    share = F.lit(1.0)
+    share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(rows_per_language / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    picked = rows.where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "key", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
@@ -158,9 +161,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 u, c = np.unique(code[a:b], return_counts=True)
                 at.append(u.astype("<u2").tobytes())
                 times.append((c * (SCALE / max(b - a, 1))).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["lang", "at", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["lang", "key", "at", "times"])
 
-    got = sorted(((r["lang"], bytes(r["at"]), bytes(r["times"])) for r in picked.mapInArrow(features, "lang string, at binary, times binary").collect()))
+    once = picked.mapInArrow(features, "lang string, key long, at binary, times binary").groupBy("lang", "key").agg(F.min(F.struct("at", "times")).alias("x"))
+    got = sorted((r["lang"], bytes(r["x"]["at"]), bytes(r["x"]["times"])) for r in once.collect())
     labels = np.array([r[0] for r in got], object)
     vectors = [(np.frombuffer(r[1], "<u2").astype(np.int64), np.frombuffer(r[2], "<f4").astype(np.float64)) for r in got]
     langs = sorted(set(labels.tolist()))
