@@ -1,13 +1,15 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade >= k | text) = sigmoid(w.x - t_k) with one shared weight vector ``w`` over hashed text features and ordered
-thresholds ``t_1 < t_2 < ...``.  From these come the expected grade and the tail probability used for selection.
+thresholds ``t_1 < t_2 < ...``, which are fitted as the first one and the logarithms of the gaps, so they stay ordered
+for any number of grades.  From these come the expected grade and the tail probability used for selection.
 Features are the distinct tokens of the whole text (runs of word bytes and runs of symbols) and a few bucketed
 shape tokens (repetition, share of symbols, variety).  Weights are fitted by FTRL-proximal steps, whose L1 term
 keeps words seen by chance at zero, so long texts gain no noise.
 
 Defined results: a null or empty text has no evidence and gets grade 0 with tail probability 0; with no rated row
-every text gets the prior of one grade (expected grade 0); repeated rows are rated alike; extra columns are ignored.
+every text gets the prior of one grade (expected grade 0); repeated rows are rated alike, and of rows that repeat a
+rated id one is learned from; a null id is never learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,13 +98,19 @@ class OrdinalModel:
         return p
 
 
+def ordered(u: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the gaps."""
+    return np.cumsum(np.concatenate([u[:1], np.exp(u[1:])]))
+
+
 def train(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, bits: int = BITS, rounds: int = 12, batch: int = 128, rate: float = 0.3, l1: float = 0.6, seed: int = 11) -> OrdinalModel:
-    """Mini-batch FTRL-proximal on the cumulative-link likelihood; thresholds stay ordered by positive gaps."""
+    """Mini-batch FTRL-proximal for the weights of the cumulative-link likelihood, adaptive steps for the thresholds."""
     z, sq = np.zeros(1 << bits), np.zeros(1 << bits)
     w = np.zeros(1 << bits)
     share = np.array([(grades >= k).mean() for k in range(1, levels)]).clip(0.02, 0.98)
-    t = np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(levels - 1))
-    t_sq = np.ones(levels - 1)
+    start = np.log((1 - share) / share)
+    u_t = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])  # the first threshold, then log gaps
+    t, t_sq = ordered(u_t), np.ones(levels - 1)
     weight = np.array([len(grades) / (levels * max((grades == g).sum(), 1)) for g in range(levels)])
     rng, order = np.random.default_rng(seed), np.arange(len(rows))
     for _ in range(rounds):
@@ -127,20 +135,24 @@ def train(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, bits: int
             z[u] += g - step * w[u]
             sq[u] += g * g
             w[u] = np.where(np.abs(z[u]) <= l1 * batch**0.5, 0, -(z[u] - np.sign(z[u]) * l1 * batch**0.5) / ((1 + np.sqrt(sq[u])) / rate))
-            t_sq += g_t * g_t
-            t = np.maximum.accumulate(t - rate * g_t / np.sqrt(t_sq) + 0)
-            t += 1e-3 * np.arange(levels - 1) * (np.diff(t, prepend=t[0] - 1) <= 0)
+            later = np.cumsum(g_t[::-1])[::-1]  # a gap moves all thresholds from its own on
+            g_u = np.concatenate([later[:1], later[1:] * np.exp(u_t[1:])])
+            t_sq += g_u * g_u
+            u_t = u_t - rate * g_u / np.sqrt(t_sq)
+            u_t[1:] = np.clip(u_t[1:], -7, 4)
+            t = ordered(u_t)
     return OrdinalModel(w, t)
 
 
 def fit(docs: DataFrame, grades: DataFrame, *, text_col: str = "text", grade_col: str = "grade", id_col: str = "doc_id", rows_per_grade: int = 4000) -> OrdinalModel:
-    """Fit on the documents that ``grades`` (one row of id and grade 0, 1, 2, ... each) has a grade of.
+    """Fit on the documents that ``grades`` (rows of an id and a grade 0, 1, 2, ...) has a grade of.
 
     ``rows_per_grade`` bounds the sample: of each grade that many ids are expected, chosen by a hash of the id, and only
-    those few ids are sent to the documents, so no text is shuffled.
+    those few ids are sent to the documents, so no text is shuffled.  Of rows that repeat an id one comes to the driver.
     """
     ship(docs.sparkSession)
     ids = grades.select(grades[id_col].cast("long").alias("doc_id"), grades[grade_col].cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+    ids = ids.groupBy("doc_id").agg(F.min("grade").alias("grade"))  # of several grades the lowest
     counts = {r["grade"]: r["n"] for r in ids.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not counts or max(counts) == 0:
         return OrdinalModel(np.zeros(1 << BITS), np.array([30.0]))
@@ -148,16 +160,17 @@ def fit(docs: DataFrame, grades: DataFrame, *, text_col: str = "text", grade_col
     for grade, n in counts.items():
         share = F.when(F.col("grade") == grade, F.lit(rows_per_grade / n)).otherwise(share)
     sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    picked = two(docs, id_col, text_col).where("text is not null").join(F.broadcast(sample), "doc_id").select("grade", "text")
+    picked = two(docs, id_col, text_col).where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             at, place = features(batch.column("text"))
             cut = np.searchsorted(at, np.arange(batch.num_rows + 1))
             places = [place[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(places, pa.binary())], ["grade", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(places, pa.binary())], ["doc_id", "grade", "places"])
 
-    got = sorted((r["grade"], bytes(r["places"])) for r in picked.mapInArrow(work, "grade int, places binary").collect())
+    one = picked.mapInArrow(work, "doc_id long, grade int, places binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("places").alias("places"))
+    got = sorted((r["grade"], bytes(r["places"])) for r in one.collect())
     if len({g for g, _ in got}) < 2:
         return OrdinalModel(np.zeros(1 << BITS), np.array([30.0] * max(counts)))
     return train([np.frombuffer(r[1], "<u4").astype(np.int64) for r in got], np.array([r[0] for r in got]), max(counts) + 1)
