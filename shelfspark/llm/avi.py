@@ -300,8 +300,8 @@ def clips(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of every text's payload as read back and of its stored form, with its shots as a feature."""
-    return _rows(docs, id_col, text_col).drop("clips")
+    """Digests of every text's payload as read back and of its stored form, with its shots as a feature and as timed clips."""
+    return _rows(docs, id_col, text_col)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -59,6 +60,7 @@ class BatchBPE:
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         vocab, names = model["vocab"], byte_names()
         self.first = np.array([vocab[c] for c in names], np.int32)
         self.last = np.array([vocab[c + self.suffix] for c in names], np.int32)
@@ -214,27 +216,16 @@ class BatchBPE:
         return ids, out[np.concatenate([[0], np.searchsorted(to, ends, side="right")])]
 
     def _encode_with_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, bounds = [], [0]
-        for text in texts:
-            n = 0
-            for part, token in self._parts(text):
-                got = self.encode([part])[0] if token is None else np.array([token], np.uint32)
-                ids.append(got)
-                n += len(got)
-            bounds.append(bounds[-1] + n)
-        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(bounds)
-
-    def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
-        while text:
-            found = [(text.find(t), t) for t in self.added if t in text]
-            if not found:
-                yield text, None
-                return
-            at, token = min(found)
-            if at:
-                yield text[:at], None
-            yield "", self.added[token]
-            text = text[at + len(token) :]
+        """Texts are cut at all added tokens by one expression, and what lies between is encoded at once."""
+        cut = [self.cuts.split(text) for text in texts]  # plain, token, plain, token, ..., plain
+        ids, bounds = self.encode([part for parts in cut for part in parts[::2]])
+        tokens = np.array([self.added[t] for parts in cut for t in parts[1::2]], np.uint32)
+        plain = np.array([(len(parts) + 1) // 2 for parts in cut])  # of each text; one more than it has tokens
+        ends = np.cumsum(plain)
+        last = np.zeros(len(bounds) - 1, bool)
+        last[ends - 1] = True
+        out = np.insert(ids, bounds[1:][~last], tokens)
+        return out, np.concatenate([[0], bounds[ends] + np.cumsum(plain - 1)])
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The text of each run of ids; bytes that are not UTF-8 become U+FFFD."""

@@ -7,7 +7,8 @@ row a pair.
 
 Defined results: a null or empty conversation is one without turns; a null role or text counts as empty; equal
 conversations give a prompt and two empty completions and are not ``distinct``; a turn number that repeats keeps both
-turns, in the order of role and text; extra columns are ignored.
+turns, in the order of role and text; extra columns stay, but for those named like a column of the result, which gives
+way to it.  One conversation is one row, so its turns have to fit into a task's memory.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.neighbours import with_next
 
+RESULT = ("prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask", "distinct", "_a", "_b", "_p", "_c", "_r")
 #: How a turn is written.
 OPEN, CLOSE, END = "<|", "|>\n", "\n"
 
@@ -54,7 +56,7 @@ def format_pairs(pairs: DataFrame, *, chosen: str = "chosen", rejected: str = "r
     """
     turns = "array<struct<role:string,text:string>>"
     clean = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(turns)), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    others = [c for c in pairs.columns if c not in (chosen, rejected)]
+    others = [c for c in pairs.columns if c not in (chosen, rejected, *RESULT)]
     rows = pairs.select(*others, clean(chosen).alias("_a"), clean(rejected).alias("_b"))
     rows = rows.withColumn("prompt_turns", common_turns(F.col("_a"), F.col("_b")))
     rest = lambda c: F.when(F.size(c) > F.col("prompt_turns"), F.slice(c, F.col("prompt_turns") + 1, F.size(c))).otherwise(F.array().cast(turns))
