@@ -7,11 +7,11 @@ digest (its check fits, and it belongs into that cell), removes that digest from
 nothing is left, which recovers the differing digests.  If it sticks, the sketch was too small and a four times larger
 one is tried, until one succeeds.
 
-A fingerprint is the least sketch of that ladder from which its own digests can be listed, so it depends on the text
-alone and can be inverted.  Two fingerprints are compared by nothing but themselves: the smaller one is listed and
-brought to the size of the larger, the two are subtracted and the difference is peeled; if that sticks, both are listed
-and brought to the next size.  So what a document sends to the one before is its fingerprint and the characters that
-the edited text needs, and :func:`read` with :func:`with_likeness` gives the same likeness from the returned strings.
+A fingerprint is a sketch with room for 16 times a text's digests, and depends on the text alone.  Two fingerprints are
+compared by subtraction and peeling: the smaller one is brought to the size of the larger first, and if peeling sticks,
+both are brought to the next size.  A document sends the one before nothing but its fingerprint, of the first size from
+which its digests can be listed, and the characters that the edited text needs; the returned strings give the same
+likeness again (:func:`read`, :func:`with_likeness`).
 
 Defined results: null counts as the empty text, which has no paragraphs and likeness 1 to another such text and 0 to
 any other; repeated paragraphs count once; a table of one document has itself as next; rows of one doc_id share the
@@ -31,9 +31,7 @@ from shelfspark.llm.skew import SHARE
 
 #: Each size of the ladder is four times the one before; the last is beyond what any text can need.
 TRIES = 14
-LEAST_CELLS = 8
-#: Up to this size a digest's own bits place it; beyond it, a hash of the digest does.
-OWN_BITS = 1 << 16
+LEAST_CELLS = 64
 CHECK = 0xFFFF
 
 
@@ -58,14 +56,16 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: checked(F.xxhash64(p)))))
 
 
-#: Every sentence end in any script, with closing quotes or brackets after it, and every line break.
-ENDS = r"(?<=[.!?\u2026\u061F\u06D4\u0964\u0965\u0589\u1362][\)\]\"'\u00BB\u201D\u2019]?)\s+|(?<=[\u3002\uFF01\uFF1F\uFF61])|[\r\n]+"
+#: White space after a sentence end, with closing quotes or brackets, in scripts that write it, and every line break.
+ENDS = r"\s(?<=[.!?\u2026\u061F\u06D4\u0964\u0965\u0589\u1362][\)\]\"'\u00BB\u201D\u2019]?\s)\s*|[\r\n]+"
+#: Sentence ends of scripts that write no white space after them.
+CLOSE = r"([\u3002\uFF01\uFF1F\uFF61])"
 #: Longer runs without an end are cut after words whose hash is a multiple of 8, and after 32 words at most.
 LONG = 240
 
 
 def whole_digests(text: Column) -> Column:
-    """Sorted distinct digests of a text's paragraphs, which end at every line break and every sentence end."""
+    """The distinct digests of a text's paragraphs, which end at every line break and every sentence end."""
 
     def pieces(p: Column) -> Column:
         def cut(w: Column) -> Column:
@@ -74,14 +74,16 @@ def whole_digests(text: Column) -> Column:
 
         return F.when(F.char_length(p) <= LONG, F.array(p)).otherwise(let(F.regexp_extract_all(p, F.lit(r"(\S{1,64})"), F.lit(1)), cut))
 
-    parts = F.filter(F.transform(F.split(text, ENDS), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(parts, pieces)), lambda p: checked(F.xxhash64(p)))))
+    closed = F.when(text.rlike(CLOSE), F.regexp_replace(text, CLOSE, "$1\n")).otherwise(text)
+    parts = F.transform(F.split(closed, ENDS), lambda p: F.trim(p))
+    # most texts have no long run
+    short = let(parts, lambda p: F.when(F.exists(p, lambda x: F.char_length(x) > LONG), F.flatten(F.transform(p, pieces))).otherwise(p))
+    return F.array_distinct(F.transform(F.filter(short, lambda p: p != ""), lambda p: checked(F.xxhash64(p))))
 
 
 def cell_of(key: Column, j: int, size: Column) -> Column:
-    """The place of a digest's cell in subtable ``j``; the subtables' cells follow each other."""
-    own = F.shiftrightunsigned(key, 16 + 16 * j)
-    return F.when(size <= OWN_BITS, own).otherwise(F.xxhash64(key, F.lit(j))).bitwiseAND(size - 1) + size * j
+    """The place of a digest's cell in subtable ``j``: the digest's bits from 16 j on; the subtables' cells follow each other."""
+    return F.shiftrightunsigned(key, 16 * j).bitwiseAND(size - 1) + size * j
 
 
 def _places(keys: Column, size: Column, base: Column) -> Column:
@@ -163,43 +165,45 @@ def _cells(f: Column) -> Column:
     return F.arrays_zip(f["c"], f["k"]).cast("array<struct<c:bigint,k:bigint>>")
 
 
-def with_fingerprint(rows: DataFrame, name: str, keys: Column, first: int = LEAST_CELLS) -> DataFrame:
+def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_CELLS, listable: bool = True) -> DataFrame:
     """``rows`` with the fingerprint of distinct digests: ``n`` of them, ``m`` cells a subtable, their places and contents.
 
-    ``m`` is the first of a power of two of at least ``n`` (and ``first``), four times it, and so on, from which all digests
-    can be listed.
+    ``m`` is the first of a power of two of at least 16 ``n`` (and ``first``), four times it, and so on, from which all
+    digests can be listed.  So nearly all digests are alone in a cell and peeling takes one turn or two; room costs
+    little, as empty cells are left out.  If not ``listable`` the first size is taken unseen, for rows that keep their
+    digests at hand.
     """
     kind = "struct<ok:boolean,m:bigint,cells:array<struct<c:bigint,k:bigint>>>"
-    power = F.ceil(F.log2(F.greatest(F.size("_d"), F.lit(first)))).cast("int")
-    rows = rows.withColumn("_d", keys).withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), power))
-    d, least = F.col("_d"), F.col("_m")
+    d = F.col(keys)
+    rows = rows.withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.size(d) * 16, F.lit(first)))).cast("int")))
 
     def attempt(t: Column) -> Column:
-        m = _grown(least, t)
+        m = _grown(F.col("_m"), t)
         return let(sketch(d, m), lambda cells: F.struct(peeled(cells, m)["ok"].alias("ok"), m.alias("m"), cells.alias("cells")))
 
-    rows = rows.withColumn("_s", _first_whole(attempt, kind, F.sequence(F.lit(0), F.lit(TRIES - 1))))
-    return rows.withColumn(name, F.struct(F.size(d).alias("n"), F.col("_s.m").alias("m"), F.col("_s.cells.c").alias("c"), F.col("_s.cells.k").alias("k"))).drop("_d", "_m", "_s")
+    unseen = F.struct(F.lit(True).alias("ok"), F.col("_m").alias("m"), sketch(d, F.col("_m")).alias("cells"))
+    rows = rows.withColumn("_s", unseen.cast(kind) if not listable else _first_whole(attempt, kind, F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    return rows.withColumn(name, F.struct(F.size(d).alias("n"), F.col("_s.m").alias("m"), F.col("_s.cells.c").alias("c"), F.col("_s.cells.k").alias("k"))).drop("_m", "_s")
 
 
-def with_likeness(rows: DataFrame, name: str, a: str, b: str) -> DataFrame:
+def with_likeness(rows: DataFrame, name: str, a: str, b: str, a_keys: str | None = None, b_keys: str | None = None) -> DataFrame:
     """``rows`` with the shared digests over all digests of two fingerprints; 1 for two empty ones.
 
-    The smaller one is listed and brought to the size of the larger, both are subtracted and the difference is peeled.  If
-    that sticks, both are listed and brought to four times the size, and so on.
+    The smaller one is brought to the size of the larger, both are subtracted and the difference is peeled.  If that
+    sticks, both are brought to four times the size, and so on.  To bring a fingerprint to another size its digests are
+    listed, unless they are at hand in the column ``a_keys`` or ``b_keys``.
     """
     kind = "struct<ok:boolean,found:array<bigint>>"
     f, g, size = F.col(a), F.col(b), F.col("_m")
-    # nothing is compared if either is empty
-    both = (f["n"] > 0) & (g["n"] > 0)
-    listed = lambda x, when: F.when(when, peeled(_cells(x), x["m"])["found"])
+    both = (f["n"] > 0) & (g["n"] > 0)  # nothing is compared if either is empty
+    listed = lambda x, keys, when: F.when(when, F.col(keys) if keys else peeled(_cells(x), x["m"])["found"])
     rows = rows.withColumn("_m", F.greatest(f["m"], g["m"]))
-    rows = rows.withColumns({"_a": listed(f, both & (f["m"] < size)), "_b": listed(g, both & (g["m"] < size))})
+    rows = rows.withColumns({"_a": listed(f, a_keys, both & (f["m"] < size)), "_b": listed(g, b_keys, both & (g["m"] < size))})
     at = lambda x, keys: F.when(F.col(keys).isNull(), _cells(x)).otherwise(sketch(F.col(keys), size))
     rows = rows.withColumn("_x", F.when(both, subtracted(at(f, "_a"), at(g, "_b"))))
     rows = rows.withColumn("_p", F.when(both, peeled(F.col("_x"), size)))
     stuck = both & ~F.col("_p.ok")
-    rows = rows.withColumns({"_a": F.when(stuck, F.coalesce("_a", listed(f, stuck))), "_b": F.when(stuck, F.coalesce("_b", listed(g, stuck)))})
+    rows = rows.withColumns({"_a": F.when(stuck, F.coalesce("_a", listed(f, a_keys, stuck))), "_b": F.when(stuck, F.coalesce("_b", listed(g, b_keys, stuck)))})
 
     def attempt(t: Column) -> Column:
         m = _grown(size, t)
@@ -246,17 +250,17 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def given(first: DataFrame) -> DataFrame:
         """What the texts ``first`` (one an id) give to the ids before them."""
-        return with_fingerprint(first, "after", digests(F.col("text"))).select(F.col("before").alias("at"), F.expr("substring(text, 1, need)").alias("head"), "after")
+        return with_fingerprint(first.withColumn("keys", digests(F.col("text"))), "after", "keys").select(F.col("before").alias("at"), F.expr("substring(text, 1, need)").alias("head"), "after")
 
     def edited(joined: DataFrame) -> DataFrame:
         n = F.char_length("text")
         cut = F.floor(n / 4).cast("int")
         return joined.select("doc_id", "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "after")
 
-    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "before", "need")).alias("x")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "before", "need", "doc_id")).alias("x")  # all columns, so that both ways share one shuffle
     if not heavy:
         known = base.join(asked, "at")
-        return edited(known.join(given(known.groupBy("at").agg(one).select("x.*")), "at"))
+        return edited(known.join(given(known.groupBy("at").agg(one).select("x.text", "x.before", "x.need", "x.doc_id")), "at"))
     parts = F.broadcast(spark.createDataFrame(heavy, "at long, parts int"))
     known = base.join(parts.select("at"), "at", "left_anti").join(asked, "at")
     alone = base.join(parts, "at")
@@ -270,7 +274,8 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
     """Fingerprints of every text and its edited form, and the text's likeness to that and to the next document."""
     rows = edited_pairs(docs, id_col=id_col, text_col=text_col, digests=digests)
-    rows = with_fingerprint(with_fingerprint(rows, "own", digests(F.col("text"))), "other", digests(F.col("edited")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "after")
-    rows = with_likeness(with_likeness(rows, "near_edited", "own", "other"), "near_next", "own", "after")
+    rows = rows.withColumns({"keys": digests(F.col("text")), "edited_keys": digests(F.col("edited"))})
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "edited_keys", "after")
+    rows = with_fingerprint(with_fingerprint(rows, "own", "keys", listable=False), "other", "edited_keys", listable=False)
+    rows = with_likeness(with_likeness(rows, "near_edited", "own", "other", "keys", "edited_keys"), "near_next", "own", "after", "keys")
     return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), "near_edited", "near_next")
