@@ -165,17 +165,17 @@ def _cells(f: Column) -> Column:
     return F.arrays_zip(f["c"], f["k"]).cast("array<struct<c:bigint,k:bigint>>")
 
 
-def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_CELLS, listable: bool = True) -> DataFrame:
+def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_CELLS, room: int = 16, listable: bool = True) -> DataFrame:
     """``rows`` with the fingerprint of distinct digests: ``n`` of them, ``m`` cells a subtable, their places and contents.
 
-    ``m`` is the first of a power of two of at least 16 ``n`` (and ``first``), four times it, and so on, from which all
+    ``m`` is the first of a power of two of at least ``room`` times ``n`` (and ``first``), four times it, and so on, from which all
     digests can be listed.  So nearly all digests are alone in a cell and peeling takes one turn or two; room costs
     little, as empty cells are left out.  If not ``listable`` the first size is taken unseen, for rows that keep their
     digests at hand.
     """
     kind = "struct<ok:boolean,m:bigint,cells:array<struct<c:bigint,k:bigint>>>"
     d = F.col(keys)
-    rows = rows.withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.size(d) * 16, F.lit(first)))).cast("int")))
+    rows = rows.withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.size(d) * room, F.lit(first)))).cast("int")))
 
     def attempt(t: Column) -> Column:
         m = _grown(F.col("_m"), t)

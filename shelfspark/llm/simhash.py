@@ -23,7 +23,6 @@ component's id is the smallest id that is not null; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -120,10 +119,6 @@ def block_keys(fp: Column, blocks: int = 7, shared: int = 3) -> Column:
     return F.array(*keys)
 
 
-def _distance(a: list[Column], b: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a, b, strict=True)))
-
-
 def midpoints(fp: Column, flips: int) -> Column:
     """All values that differ from a 64-bit fingerprint in at most ``flips`` (up to 2) bits."""
     bit = [1 << b if b < 63 else -(1 << 63) for b in range(64)]
@@ -241,16 +236,18 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return g[new], of[new]
 
 
-def band_keys(g: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each band of least hashes of every text that has shingles, and how many keys each text has."""
+def band_keys(g: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every text that has shingles a key for each band of least hashes and a byte of each of those; and each text's number of keys."""
     edge = np.flatnonzero(np.diff(of, prepend=-1))
-    keys = np.empty((len(edge), BANDS), np.uint64)
+    keys, low = np.empty((len(edge), BANDS), np.uint64), np.empty((len(edge), BANDS * ROWS), np.uint8)
     for b in range(BANDS) if len(edge) else ():
         key = np.full(len(edge), b, np.uint64)
         for c in range(b * ROWS, (b + 1) * ROWS):
-            key = _mixed(key ^ np.minimum.reduceat(g * (_SEEDS[0, c] | np.uint64(1)) + _SEEDS[1, c], edge), 1)[:, 0]
+            least = _mixed(np.minimum.reduceat(g * (_SEEDS[0, c] | np.uint64(1)) + _SEEDS[1, c], edge), 1)[:, 0]
+            low[:, c] = least >> np.uint64(56)
+            key = _mixed(key ^ least, 1)[:, 0]
         keys[:, b] = key
-    return keys, np.bincount(of[edge], minlength=n) * BANDS
+    return keys, low, np.bincount(of[edge], minlength=n) * BANDS
 
 
 def jaccard(a: pa.Array, b: pa.Array, k: int = 5) -> np.ndarray:
@@ -265,95 +262,121 @@ def jaccard(a: pa.Array, b: pa.Array, k: int = 5) -> np.ndarray:
     return np.where(whole == 0, 1.0, shared / np.maximum(whole, 1))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, similar: float, k: int) -> DataFrame:
-    """Those of the pairs ``u, v`` whose texts have a similarity of ``similar`` or more, computed from the texts."""
+def close(a: np.ndarray, b: np.ndarray, radius: int, least: int) -> np.ndarray:
+    """Whether two sketches (last axis: 32 bytes of a SimHash fingerprint, then a byte of each least hash) may be alike."""
+    differ = np.bitwise_count(a[..., :32] ^ b[..., :32]).sum(-1, dtype=np.int32)
+    return (differ <= radius) & ((a[..., 32:] == b[..., 32:]).sum(-1, dtype=np.int32) >= least)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, k: int, radius: int) -> DataFrame:
+    """Those of the pairs ``u, v`` whose texts have a similarity of ``similar`` or more: by sketch, then from the texts."""
+    least = fewest(similar)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in "ab")
+            yield batch.select(["u", "v"]).filter(pa.array(close(a, b, radius, least)))
+
+    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for half in runs(batches, "a") for part in runs(iter([half]), "b")):
-            near = pa.array(jaccard(batch.column("a"), batch.column("b"), k) >= similar)
-            yield batch.select(["u", "v"]).filter(near)
+            yield batch.select(["u", "v"]).filter(pa.array(jaccard(batch.column("a"), batch.column("b"), k) >= similar))
 
-    pairs = saved(pairs)
-    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return salted(pairs, a, ["u"]).join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u binary, v binary")
+    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        of = of.toDF("node", "x")
+        one = salted(pairs, of.select(F.col("node").alias("u"), F.col("x").alias("a")), ["u"])
+        return salted(one, of.select(F.col("node").alias("v"), F.col("x").alias("b")), ["v"], counted=pairs).select("u", "v", "a", "b")
 
+    likely = saved(both(saved(pairs), nodes.select("node", "sketch")).mapInArrow(may, "u binary, v binary"))
+    return both(likely, texts).mapInArrow(are, "u binary, v binary")
 
-def _unlinked(rows: DataFrame, radius: int, signature: list[str], small: int = 24, chunk: int = 1024) -> DataFrame:
-    """All pairs ``u, v`` (u < v) of a bucket within the radius whose roots differ; large buckets in pairs of chunks."""
+
+def fewest(similar: float) -> int:
+    """How many of the least hashes agree at this similarity, less 4.5 deviations: 5 in a million pairs have fewer."""
+    n = BANDS * ROWS
+    return int(n * similar - 4.5 * (n * similar * (1 - similar)) ** 0.5)
+
+
+def _unlinked(rows: DataFrame, nodes: DataFrame, similar: float, radius: int, small: int = 24, chunk: int = 512) -> DataFrame:
+    """Pairs ``u, v`` (u < v) of a bucket (``key, node, n, root``) that may be alike and whose roots differ.
+
+    The nodes of a small bucket are paired; those of a large one meet in blocks of two chunks, and only pairs with close
+    sketches come out.
+    """
     few = rows.where(F.col("n") <= small)
     a, b = few.alias("a"), few.alias("b")
-    near = _distance([F.col(f"a.{c}") for c in signature], [F.col(f"b.{c}") for c in signature]) <= radius
-    out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    many = rows.where(F.col("n") > small).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    many = rows.where(F.col("n") > small).join(nodes.select("node", "sketch"), "node").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("key", "node", "root", *signature, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    many = many.select("key", "node", "root", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    least = fewest(similar)
 
     def span(group: pd.DataFrame) -> pd.DataFrame:
         node, at = np.unique(group["node"].to_numpy(), return_inverse=True)
         root = np.unique(group["root"].to_numpy(), return_inverse=True)[1]
-        words = [group[c].to_numpy().view(np.uint64) for c in signature]
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
         us, vs = [at[:0]], [at[:0]]
-        for x in range(0, len(at), 256):
-            d = sum(np.bitwise_count(w[x : x + 256, None] ^ w[None, :]).astype(np.uint16) for w in words)
-            p, q = np.nonzero((d <= radius) & (root[x : x + 256, None] != root[None, :]) & (at[x : x + 256, None] < at[None, :]))
-            us.append(at[p + x])
-            vs.append(at[q])
+        for x in range(len(at)):
+            y = np.flatnonzero((root != root[x]) & (at > at[x]))
+            y = y[close(sketch[x], sketch[y], radius, least)]
+            us.append(np.full(len(y), at[x]))
+            vs.append(at[y])
         return pd.DataFrame({"u": node[np.concatenate(us)], "v": node[np.concatenate(vs)]})
 
     return out.unionAll(many.groupBy("key", "i", "j").applyInPandas(span, "u binary, v binary")).distinct()
 
 
 def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (with a long ``_id`` and a string ``_text``) written with their ``_node``, and ``node, component_id`` of all nodes.
+    """``rows`` (with long ``_id``, unique long ``_row``, string ``_text``) written with ``_node``, and ``node, component_id`` of all nodes.
 
     Texts of equal shingles are one node, named by 128 bits of a hash of those; the least ``_id`` names a component.
     Candidates share a band of least hashes, whatever the edit looks like: of pairs at 0.8, all but 7 in 100,000 share
-    one of 24 bands of 5.  Their 256-bit SimHash fingerprints may then differ in ``radius`` bits, far above the 39 expected
-    at 0.8 (deviation 6; 48 for the shortest texts), and what passes is decided by the similarity itself, from the texts.
+    one of 24 bands of 5.  Of their sketches, the 256-bit SimHash fingerprints may then differ in ``radius`` bits, far above
+    the 39 expected at 0.8 (deviation 6; 48 for the shortest texts), and as many of the 120 least hashes must agree as
+    do at that similarity, less 4.5 deviations.  What passes is decided by the similarity itself, from the texts.
     Each bucket is first compared with one of its nodes; only pairs that this leaves in different components are compared
     after that.
     """
-    names, columns = [f"s{c}" for c in range(CHECK)], rows.columns
-    own = [f"_{c}" for c in ("node", *names, "keys")]
+    columns = rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "_text"):
-            texts = batch.column("_text")
-            n = len(texts)
-            g, of = shingle_sets(texts, k)
-            keys, sizes = band_keys(g, of, n)
-            check = majority(_mixed(g, CHECK), of, n)
+            n = batch.num_rows
+            g, of = shingle_sets(batch.column("_text"), k)
+            keys, low, sizes = band_keys(g, of, n)
+            check = majority(_mixed(g, CHECK), of, n).view(np.uint8).reshape(n, -1)
+            hashes = np.zeros((n, BANDS * ROWS), np.uint8)
+            hashes[sizes > 0] = low
+            sketch = np.concatenate([check, hashes], 1)
             bounds = np.searchsorted(of, np.arange(n + 1)).tolist()
             node = pa.array([xxhash.xxh3_128_digest(g[x:y].tobytes()) for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), node, *(pa.array(check[:, c].copy().view(np.int64)) for c in range(CHECK)), lists], [*columns, *own])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), node, pa.array([x.tobytes() for x in sketch], pa.binary()), lists], [*columns, "_node", "_sketch", "_keys"])
 
-    kinds = {"_node": "binary", "_keys": "array<bigint>"}
     schema = rows.schema
-    for c in own:
-        schema = T.StructType([*schema, T.StructField(c, T.DataType.fromDDL(kinds.get(c, "bigint")))])
+    for c, kind in (("_node", "binary"), ("_sketch", "binary"), ("_keys", "array<bigint>")):
+        schema = T.StructType([*schema, T.StructField(c, T.DataType.fromDDL(kind))])
     prints = saved(rows.mapInArrow(work, schema))
-    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), *(F.min(f"_{c}").alias(c) for c in names), F.min("_keys").alias("keys")))
-    rows = nodes.select("node", *names, F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", *names)).alias("hub")).where("n > 1")
+    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), F.min("_row").alias("_row"), F.min("_sketch").alias("sketch"), F.min("_keys").alias("keys")))
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     rows = saved(salted(rows, buckets, ["key"]))
-    met = rows.select("node").distinct()
-    texts = saved(prints.select(F.col("_node").alias("node"), F.col("_text").alias("text")).join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    # the texts of nodes that met others, each from one of its rows
+    met = nodes.select("node", "_row").join(rows.select("node").distinct(), "node", "left_semi").select("_row")
+    texts = saved(prints.select("_row", F.col("_node").alias("node"), F.col("_text").alias("text")).join(met, "_row", "left_semi").drop("_row"))
 
-    to_hub = _distance([F.col(c) for c in names], [F.col(f"hub.{c}") for c in names]) <= radius
-    first = saved(alike(rows.where((F.col("node") != F.col("hub.node")) & to_hub).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), texts, similar, k))
-    linked = saved(rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    first = saved(alike(rows.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), nodes, texts, similar, k, radius))
+    linked = rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = linked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = saved(salted(linked.where(F.col("node") != F.col("hub.node")).drop("hub"), open_, ["key"]))
-    second = alike(_unlinked(left, radius, names), texts, similar, k)
+    left = saved(salted(linked.where("node <> hub").drop("hub"), open_, ["key"], counted=rows))
+    second = saved(alike(_unlinked(left, nodes, similar, radius), nodes, texts, similar, k, radius))
     return prints, saved(labelled(nodes.select("node", "least_id"), saved(components(first.unionAll(second)))))
 
 
 def near_copies(docs: DataFrame, *, k: int = 5, similar: float = 0.8, radius: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of texts linked by a similarity of ``similar`` or more of their distinct shingles."""
-    rows = two(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    rows = two(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
     prints, of_node = near_nodes(rows, k, similar, radius)
     return salted(prints.select("_id", "_node"), of_node.withColumnRenamed("node", "_node"), ["_node"]).select(F.col("_id").alias("doc_id"), "component_id")
 

@@ -19,12 +19,13 @@ def hot(rows: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
     return counts.select(*keys, F.ceil(F.col("_n") * share / max(total, 1)).cast("int").alias("_parts"))
 
 
-def salted(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE) -> DataFrame:
+def salted(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``unique``, one row a key: a hot key's rows are dealt over parts, each of which gets a copy of its row.
 
-    Null keys are no keys: an inner join leaves their rows out, a left join keeps them without a match.
+    Null keys are no keys: an inner join leaves their rows out, a left join keeps them without a match.  ``counted`` has the
+    same keys as ``rows`` if that isn't a written table.
     """
-    parts = F.broadcast(hot(rows.select(*keys).dropna(), keys, share))
+    parts = F.broadcast(hot((rows if counted is None else counted).select(*keys).dropna(), keys, share))
     left = rows.join(parts, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     right = unique.join(parts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -236,17 +236,18 @@ def test_small_sketches_are_retried(spark):
     keys = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: iblt.checked(F.xxhash64(i.cast("long"))))
     rows = spark.range(1).select("id")
     for a, b, c, d in ((1, 400, 361, 400), (1, 3, 2, 9), (1, 2000, 1, 2001), (1, 1, 1, 1)):
-        made = iblt.with_fingerprint(iblt.with_fingerprint(rows, "f", keys(a, b), first=1), "g", keys(c, d), first=1)
+        made = rows.withColumns({"x": keys(a, b), "y": keys(c, d)})
+        made = iblt.with_fingerprint(iblt.with_fingerprint(made, "f", "x", first=1, room=0), "g", "y", first=1, room=0)
         made = iblt.with_likeness(made, "like", "f", "g").select("f", "g", "like").first()
         x, y = set(range(a, b + 1)), set(range(c, d + 1))
-        assert made.like == pytest.approx(len(x & y) / len(x | y)) and made.f.n == len(x) and made.f.m >= len(x)
+        assert made.like == pytest.approx(len(x & y) / len(x | y)) and made.f.n == len(x) and made.f.m * 3 >= len(x)
 
 
 def test_likeness_from_the_returned_strings(spark):
     """The returned fingerprints are what is compared: read back, they give the returned likeness."""
     docs = spark.createDataFrame([(i, "\n".join(f"line {j} of {i % 3}" for j in range(i * 7 % 50))) for i in range(20)] + [(i, None) for i in (20, 21)], "doc_id long, text string")
     out = spark.createDataFrame(iblt.compare_next(docs).collect())
-    assert {r.fingerprint for r in out.collect() if r.n_chars == 0} == {"0;8;"}
+    assert {r.fingerprint for r in out.collect() if r.n_chars == 0} == {"0;40;"}
     parsed = out.select("doc_id", "near_edited", iblt.read(F.col("fingerprint")).alias("f"), iblt.read(F.col("edited_fingerprint")).alias("g"))
     parsed = spark.createDataFrame(parsed.collect(), parsed.schema)
     for r in iblt.with_likeness(parsed, "again", "f", "g").collect():
@@ -514,9 +515,10 @@ def test_candidates_of_near_copies():
     words = lambda seed, n: [hashlib.md5(f"{seed} {i}".encode()).hexdigest()[:7] for i in range(n)]
     a = [" ".join(words(s, 404)) for s in range(1000)]
     b = [" ".join(words(s, 404) + words(f"other {s}", 100)) for s in range(1000)]
-    (ka, _), (kb, _) = (simhash.band_keys(*simhash.shingle_sets(simhash.pa.array(t)), 1000) for t in (a, b))
+    (ka, la, _), (kb, lb, _) = (simhash.band_keys(*simhash.shingle_sets(simhash.pa.array(t)), 1000) for t in (a, b))
     assert (simhash.jaccard(simhash.pa.array(a), simhash.pa.array(b)) == 0.8).all()
     assert ((ka == kb).any(1)).sum() >= 998
+    assert ((la == lb).sum(1) >= simhash.fewest(0.8)).sum() >= 999
 
 
 def test_edited_quarter_leaves_shared_digests(spark, tmp_path):
