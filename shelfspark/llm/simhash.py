@@ -198,6 +198,8 @@ def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 #: Of near copies: words of the fingerprint of shingles, and bands and rows of the least hashes that find candidates.
 CHECK, BANDS, ROWS = 4, 24, 5
+#: Buckets of up to so many nodes are compared pair by pair.
+SMALL = 24
 _P = np.uint64(0x100000001B3)
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 
@@ -296,35 +298,57 @@ def fewest(similar: float) -> int:
     return int(n * similar - 4.5 * (n * similar * (1 - similar)) ** 0.5)
 
 
-def _unlinked(rows: DataFrame, nodes: DataFrame, similar: float, radius: int, small: int = 24, chunk: int = 512) -> DataFrame:
-    """Pairs ``u, v`` (u < v) of a bucket (``key, node, n, root``) that may be alike and whose roots differ.
+def block_links(texts: pa.Array, similar: float, k: int, columns: int = 4096) -> np.ndarray:
+    """For each text of a block the place of a text reached over similarities of ``similar`` or more; one of each is its own.
 
-    The nodes of a small bucket are paired; those of a large one meet in blocks of two chunks, and only pairs with close
-    sketches come out.
+    The shared shingles are counted by products of matrices with a column for each shingle that two texts have.
     """
-    few = rows.where(F.col("n") <= small)
-    a, b = few.alias("a"), few.alias("b")
-    out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    many = rows.where(F.col("n") > small).join(nodes.select("node", "sketch"), "node").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    n = len(texts)
+    g, of = shingle_sets(texts, k)
+    size = np.bincount(of, minlength=n)
+    word, at, times = np.unique(g, return_inverse=True, return_counts=True)
+    place = (np.cumsum(times > 1) - 1)[at]
+    keep = times[at] > 1
+    place, owner = place[keep], of[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    shared = np.zeros((n, n), np.float32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(place, [first, first + columns])
+        has = np.zeros((n, columns), np.float32)
+        has[owner[a:b], place[a:b] - first] = 1
+        shared += has @ has.T
+    whole = size[:, None] + size[None, :] - shared
+    near = np.where(whole == 0, 1.0, shared.astype(np.float64) / np.maximum(whole, 1)) >= similar
+    label = np.full(n, -1)
+    for seed in range(n):
+        if label[seed] < 0:
+            front, label[seed] = np.array([seed]), seed
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & (label < 0))
+                label[front] = seed
+    return label
+
+
+def _dense(left: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, k: int, small: int, chunk: int = 512, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """Links ``u, v`` (u < v) that connect what is alike in the large buckets of ``left``.
+
+    The texts of a bucket meet in blocks of two chunks of bounded size; a block gives at most one link for each text.
+    """
+    many = saved(left.where(F.col("n") > small).select("key", "node").join(nodes.select("node", "size"), "node"))
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / chunk_bytes)).cast("int")
+    many = salted(many.drop("size"), many.groupBy("key").agg(parts.alias("parts")), ["key"], counted=many)
+    many = many.withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("key", "node", "root", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    least = fewest(similar)
+    many = many.select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "node")
 
     def span(group: pd.DataFrame) -> pd.DataFrame:
-        node, at = np.unique(group["node"].to_numpy(), return_inverse=True)
-        root = np.unique(group["root"].to_numpy(), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        us, vs = [at[:0]], [at[:0]]
-        for x in range(len(at)):
-            y = np.flatnonzero((root != root[x]) & (at > at[x]))
-            y = y[close(sketch[x], sketch[y], radius, least)]
-            us.append(np.full(len(y), at[x]))
-            vs.append(at[y])
-        return pd.DataFrame({"u": node[np.concatenate(us)], "v": node[np.concatenate(vs)]})
+        node = group["node"].to_numpy()
+        label = block_links(pa.array(group["text"], pa.string()), similar, k)
+        pairs = [(node[i], node[j]) for i, j in enumerate(label.tolist()) if i != j]
+        return pd.DataFrame({"u": [min(p) for p in pairs], "v": [max(p) for p in pairs]}, dtype=object)
 
-    return out.unionAll(many.groupBy("key", "i", "j").applyInPandas(span, "u binary, v binary")).distinct()
+    return many.groupBy("key", "i", "j").applyInPandas(span, "u binary, v binary")
 
 
 def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -335,8 +359,8 @@ def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[Da
     one of 24 bands of 5.  Of their sketches, the 256-bit SimHash fingerprints may then differ in ``radius`` bits, far above
     the 39 expected at 0.8 (deviation 6; 48 for the shortest texts), and as many of the 120 least hashes must agree as
     do at that similarity, less 4.5 deviations.  What passes is decided by the similarity itself, from the texts.
-    Each bucket is first compared with one of its nodes; only pairs that this leaves in different components are compared
-    after that.
+    Each bucket is first compared with one of its nodes.  Of buckets that this leaves in several components, small ones
+    are compared pair by pair, and the texts of large ones meet in blocks, which give no more links than texts.
     """
     columns = rows.columns
 
@@ -358,7 +382,7 @@ def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[Da
     for c, kind in (("_node", "binary"), ("_sketch", "binary"), ("_keys", "array<bigint>")):
         schema = T.StructType([*schema, T.StructField(c, T.DataType.fromDDL(kind))])
     prints = saved(rows.mapInArrow(work, schema))
-    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), F.min("_row").alias("_row"), F.min("_sketch").alias("sketch"), F.min("_keys").alias("keys")))
+    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), F.min("_row").alias("_row"), F.min("_sketch").alias("sketch"), F.min("_keys").alias("keys"), F.max(F.octet_length("_text")).alias("size")))
     rows = nodes.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     rows = saved(salted(rows, buckets, ["key"]))
@@ -370,7 +394,10 @@ def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[Da
     linked = rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = linked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = saved(salted(linked.where("node <> hub").drop("hub"), open_, ["key"], counted=rows))
-    second = saved(alike(_unlinked(left, nodes, similar, radius), nodes, texts, similar, k, radius))
+    few = left.where(F.col("n") <= SMALL)
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    second = alike(pairs, nodes, texts, similar, k, radius).unionAll(_dense(left, nodes, texts, similar, k, SMALL))
     return prints, saved(labelled(nodes.select("node", "least_id"), saved(components(first.unionAll(second)))))
 
 

@@ -46,6 +46,29 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+@pytest.mark.parametrize("columns", [7, 4096])
+def test_blocks_by_brute_force(columns):
+    """What a block connects is what pairs of 0.8 or more connect."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
+    texts = []
+    for i in range(80):
+        words = list(base[i % 4])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += ["", None, " ", "one", "one"]
+    label = simhash.block_links(pa.array(texts), 0.8, 5, columns)
+    sets = [{tuple((t or "").split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = root[a], root[b]
+                root = [y if r == x else r for r in root]
+    assert [[x == y for y in label] for x in label] == [[x == y for y in root] for x in root]
+
+
 def test_fingerprints():
     assert simhash.fingerprints(pa.array([*ODD, None])).tolist() == [plain_fingerprint(t) for t in [*ODD, None]]
 
