@@ -22,13 +22,19 @@ def hot(rows: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
 def salted(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``unique``, one row a key: a hot key's rows are dealt over parts, each of which gets a copy of its row.
 
-    Null keys are no keys: an inner join leaves their rows out, a left join keeps them without a match.  ``counted`` has the
+    The hot keys, fewer than ``share``, come to the driver and back as literals, so that no other key pays for them.  Null
+    keys are no keys: an inner join leaves their rows out, a left join keeps them without a match.  ``counted`` has the
     same keys as ``rows`` if that isn't a written table.
     """
-    parts = F.broadcast(hot((rows if counted is None else counted).select(*keys).dropna(), keys, share))
-    left = rows.join(parts, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-    right = unique.join(parts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    (key,) = keys
+    found = hot((rows if counted is None else counted).select(key).dropna(), keys, share).collect()
+    if not found:
+        return rows.join(unique, keys, how)
+    parts = max(r["_parts"] for r in found)
+    is_hot = F.coalesce(F.col(key).isin([r[key] for r in found]), F.lit(False))
+    left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0))
+    right = unique.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def ranked(rows: DataFrame, group: str, order: list[str], name: str, blocks: int) -> DataFrame:
