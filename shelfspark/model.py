@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to, position by position.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyync"
+#: Accented small letters of the Latin script and the plain ones they fold to, position by position.
+ACCENTED = "".join(c for c in map(chr, (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))) if c.islower() and "a" <= unicodedata.normalize("NFD", c)[0] <= "z")
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 LAST_TEXT, LAST_NUMBER = "zzzzzzzz", 1e9
 
 
@@ -65,9 +66,10 @@ def folded(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Order in which digit runs compare as numbers: each is padded with zeros to twelve places."""
+    """Order in which digit runs compare as numbers: before each, without leading zeros, stands its length in four places."""
     runs = F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 12, "0")).otherwise(r)), "")
+    number = lambda r: F.regexp_replace(r, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.char_length(number(r)).cast("string"), 4, "0"), number(r))).otherwise(r)), "")
 
 
 def first_valid(*columns: Column) -> Column:

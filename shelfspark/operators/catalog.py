@@ -97,7 +97,7 @@ QUALITY: dict[str, Callable[[], Column]] = {
     "sin_autor": lambda: F.col("autores").isNull() | (F.size("autores") == 0),
     "sin_hash": lambda: absent(F.col("hash_contenido")),
     "sin_portada": lambda: absent(F.col("portada")),
-    "cdu_generica": lambda: absent(F.col("cdu")) | F.col("cdu").isin("0", "000"),
+    "cdu_generica": lambda: F.col("cdu").isin("0", "00", "000"),
     "pendientes": lambda: F.col("estado_verificacion") == "pendiente",
     "sin_coleccion": lambda: absent(F.col("coleccion")),
     "revision": lambda: F.col("revision_requerida").eqNullSafe(True),

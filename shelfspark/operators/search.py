@@ -57,6 +57,26 @@ def bm25(index: DataFrame, n_docs: int, query: list[str], k1: float = 1.2, b: fl
     return tf.join(F.broadcast(df), "term").join(docs, "id").crossJoin(F.broadcast(mean)).groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, id_col: str, columns: list[str], query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``id, score`` like :func:`bm25`, without an index: no word is shuffled.
+
+    Each row counts its own words and the query's; only one row of statistics (documents, mean length and how many have
+    each term) is gathered, and joined back.
+    """
+    words = tokens(F.concat_ws(" ", *columns))
+    times = lambda q: F.size(F.filter("w", lambda x: x == q))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.size("w").alias("dl"), *(times(q).alias(f"tf{i}") for i, q in enumerate(query)))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("mean")))).otherwise(0.0)
+
+    hit = rows.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(query)))))
+    return hit.crossJoin(F.broadcast(stats)).select("id", reduce(lambda x, y: x + y, map(part, range(len(query)))).alias("score"))
+
+
 def keyword_rank(hits: DataFrame) -> DataFrame:
     """``id, hits, best`` from rows ``id, keyword, rank``: most keywords first, then the best single rank."""
     return hits.groupBy("id").agg(F.count_distinct("keyword").alias("hits"), F.min("rank").alias("best"))

@@ -43,13 +43,12 @@ def filter_author_or_contributor(spark: SparkSession, d: str) -> Row:
 @query("filter_by_selection", "select o_orderkey, o_orderstatus from orders where o_orderkey in (select min(l_orderkey) from lineitem group by l_suppkey)")
 def filter_by_selection(spark: SparkSession, d: str) -> Row:
     chosen = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("m"))
-    selection = chosen.agg(F.collect_set("m").alias("docs"))  # one selection: as many ids as there are suppliers
-    return table(spark, d, "orders").join(selection.select(F.explode("docs").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
+    return table(spark, d, "orders").join(chosen.select(F.col("m").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@query("filter_nested_presence", "select event_id from events where json_extract_string(props, '$.k') is null")
+@query("filter_nested_presence", "select event_id from events where cast(json_extract_string(props, '$.k') as integer) >= 50")
 def filter_nested_presence(spark: SparkSession, d: str) -> Row:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "struct<k:string>").alias("p")).where("p.k is null").select("event_id")
+    return table(spark, d, "events").select("event_id", F.from_json("props", "struct<k:string>").alias("p")).where("p.k is not null and try_cast(p.k as int) >= 50").select("event_id")
 
 
 @query("quality_filters", "select count(*) filter (where l.quality is null) as pending, count(*) filter (where d.lang is null or d.lang = '') as no_code, count(*) filter (where n_chars > 5000 and l.toxic is null) as review from documents d left join labels l on d.doc_id = l.doc_id")
@@ -96,10 +95,9 @@ def works_to_review_first(spark: SparkSession, d: str) -> Row:
 
 @query("relevance_order", "select doc_id, rank from (select doc_id, row_number() over (order by coalesce(r, 1000000000), n_chars desc, doc_id) as rank from (select doc_id, n_chars, case when contains(text, 'License') then n_chars end as r from documents)) where rank <= 100")
 def relevance_order(spark: SparkSession, d: str) -> Row:
-    docs = table(spark, d, "documents")
-    ranked = docs.where(F.contains("text", F.lit("License"))).select("doc_id", F.col("n_chars").alias("r"))
-    top = docs.join(ranked, "doc_id", "left").orderBy(F.coalesce("r", F.lit(1_000_000_000)), F.desc("n_chars"), "doc_id").limit(100)
-    return top.select("doc_id", F.row_number().over(Window.orderBy(F.coalesce("r", F.lit(1_000_000_000)), F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
+    rank = F.coalesce(F.when(F.contains("text", F.lit("License")), F.col("n_chars")), F.lit(1_000_000_000))
+    top = table(spark, d, "documents").select("doc_id", "n_chars", rank.alias("r")).orderBy("r", F.desc("n_chars"), "doc_id").limit(100)
+    return top.select("doc_id", F.row_number().over(Window.orderBy("r", F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
 
 
 @query("seeded_shuffle")
