@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from shelfspark.functions.names import MONTHS
+from shelfspark.functions.names import AUTHOR_MARKS, MONTHS
 
 #: The headings that open a block, and the source that each names.
 HEADINGS = (
@@ -26,7 +26,7 @@ CIP = StructType(
     + [StructField(n, _TEXT) for n in ("lc", "dewey", "lccn")]
     + [StructField("year", _INT)]
 )
-FILE_NAME = StructType([StructField(n, _TEXT) for n in ("isbn", "title", "author", "series", "number")] + [StructField("year", _INT), StructField("month", _INT)])
+FILE_NAME = StructType([StructField(n, _TEXT) for n in ("isbn", "title", "author", "series", "number", "publisher")] + [StructField("year", _INT), StructField("month", _INT)])
 
 
 def valid_isbn(s: str) -> str | None:
@@ -86,6 +86,12 @@ def parse_file_name(name: str | None) -> dict | None:
     isbn = valid_isbn(base)
     if isbn:
         return out | {"isbn": isbn}
+    base, marks, author_first = _bracketed_heads(base)
+    out |= marks
+    if author_first:
+        who, dash, what = base.partition(" - ")
+        people = [p.strip() for p in who.split("&") if re.search(r"[^\W\d_]", p) and not re.search("|".join(AUTHOR_MARKS), p.strip(), re.I)]
+        return out | ({"author": " & ".join(people) or None, "title": what.strip()} if dash else {"title": base})
     bracketed = re.fullmatch(r"(.+?)\s*\[(.+?)\s+(\d+)\]\s*(.*)", base)
     if bracketed:  # Author [Series N] Title
         return out | {"author": bracketed[1].strip(" -"), "series": bracketed[2], "number": bracketed[3], "title": bracketed[4].strip(" -") or None}
@@ -101,6 +107,26 @@ def parse_file_name(name: str | None) -> dict | None:
     return out | {"title": re.sub(r"[_.]+", " ", base).strip() if " " not in base else base}
 
 
+def _bracketed_heads(name: str) -> tuple[str, dict, bool]:
+    """A name without the brackets at its head, what those say, and whether the author comes first.
+
+    A numbered bracket is a series, another one the publisher.  A revision mark such as ``[1234] (r1.2)`` at the end, or a
+    series, tell the form "Author & Author - Title".
+    """
+    rest = re.sub(r"\s*(?:\[\d+\]\s*)?\(r[\d.]+\)\s*$", "", name, flags=re.I)
+    first, marks = rest != name, {}
+    while head := re.match(r"\s*\[([^\]]+)\]\s*", rest):
+        label, _, last = re.sub(r"\s+_\s+", " & ", head[1].strip()).rpartition(" ")
+        if label.strip() and re.fullmatch(r"\d{1,4}|[IVXLCDM]{1,7}", last):
+            marks |= {"series": label.strip(), "number": last}
+            first = True
+        else:
+            marks.setdefault("publisher", f"{label} {last}".strip())
+        rest = rest[head.end() :]
+    rest = re.sub(r"\s*\[\d+\]\s*$", "", rest) if first else rest
+    return (rest.strip(), marks, first) if rest.strip() else (name, {}, False)
+
+
 @F.pandas_udf(CIP)
 def cip_udf(s: pd.Series) -> pd.DataFrame:
     return _frame(s, parse_cip, CIP)

@@ -23,16 +23,15 @@ def _map(values: dict[str, str]) -> Column:
 
 def udc_clean(c: Column) -> Column:
     """A UDC code fit for a path: what a blank and a letter begin is cut, as are forbidden characters and open brackets."""
-    s = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+\p{L}.*$", "")
-    s = F.regexp_replace(F.regexp_replace(s, '[:"]', "_"), r"[<>/\\|?*\x00-\x1f]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"\s+", ""), "_+", "_")
+    s = F.translate(F.element_at(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+\p{L}", 2), 1), ':"<>/\\|?*', "__")
+    s = F.regexp_replace(F.regexp_replace(s, r"[\s\x00-\x1f]+", ""), "__+", "_")
     depth = F.aggregate(
         F.split(s, ""),
         F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("cut")),
         lambda a, x: _step(a, x),
     )
     s = F.when(depth["d"] > 0, F.call_function("substring", s, F.lit(1), depth["cut"])).otherwise(s)
-    return F.substring(F.regexp_replace(F.regexp_replace(s, r"^[._\-]+", ""), r"[._\-(]+$", ""), 1, 60)
+    return F.substring(F.rtrim(F.ltrim(s, F.lit("._-")), F.lit("._-(")), 1, 60)
 
 
 def _step(a: Column, x: Column) -> Column:
@@ -63,9 +62,16 @@ def lcc_to_udc(c: Column) -> Column:
     return F.coalesce(F.element_at(_map(LCC_TO_UDC), F.substring(letters, 1, 2)), F.element_at(_map(LCC_TO_UDC), F.substring(letters, 1, 1)))
 
 
+#: Words of subjects that tell literature, and extensions of sound files.
+FICTION = ("ficción", "fiction", "literatura", "literature", "novel", "poesía", "poetry", "drama", "cuentos", "relatos")
+AUDIO = ("mp3", "m4a", "m4b", "m4p", "aac", "ogg", "oga", "opus", "flac", "wav", "wma", "aax", "aa", "ape", "alac", "aiff", "aif", "mka", "wv")
+
+
 def is_fiction(dewey: Column, lcc: Column, subjects: Column) -> Column:
-    word = F.exists(F.coalesce(subjects, F.array().cast("array<string>")), lambda s: s.rlike("(?i)ficción|fiction|literatura|literature|novel|poesía|poetry|drama|cuentos|relatos"))
-    return F.coalesce(F.trim(dewey).startswith("8"), F.lit(False)) | F.coalesce(F.trim(lcc).rlike("^P[A-Z]"), F.lit(False)) | word
+    """Dewey 8, a two-letter LCC class of P, or a subject that names literature; what is missing says nothing."""
+    told = F.lower(F.array_join(F.coalesce(subjects, F.array().cast("array<string>")), "\n"))
+    named = F.exists(F.array(*map(F.lit, FICTION)), lambda w: F.contains(told, w))
+    return F.coalesce(F.trim(dewey).startswith("8"), F.lit(False)) | F.coalesce(F.trim(lcc).rlike("^P[A-Z]"), F.lit(False)) | named
 
 
 def resource_type(s: dict[str, Column]) -> Column:
@@ -86,5 +92,5 @@ def file_format(path: Column) -> Column:
     return (
         F.when(e == "epub", "epub").when(e == "pdf", "pdf").when(e.isin("jpg", "jpeg", "png", "webp", "gif", "tif", "tiff", "bmp"), "imagen")
         .when(e.isin("cbz", "cbr", "cb7"), "comic").when(e.isin("djvu", "djv"), "djvu").when(e == "chm", "chm").when(e.isin("doc", "docx", "rtf", "odt"), "word")
-        .when(e.isin("mobi", "azw", "azw3", "fb2"), "mobi").when(e == "", "desconocido").otherwise("otro")
+        .when(e.isin("mobi", "azw", "azw3", "fb2"), "mobi").when(e.isin(*AUDIO), "audio").when(e == "", "desconocido").otherwise("otro")
     )

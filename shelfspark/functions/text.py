@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 #: Cyrillic and Greek letters with their Latin spelling.
-LATIN = dict(zip("абвгдезийклмнопрстуфыэ", "a b v g d e z i i k l m n o p r s t u f y e".split(), strict=True)) | {
-    "ё": "io", "ж": "zh", "х": "j", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "iu", "я": "ia",
-} | dict(zip("αβγδεζηικλμνξοπρσςτυω", "a b g d e z i i k l m n x o p r s s t y o".split(), strict=True)) | {"θ": "th", "φ": "f", "χ": "ch", "ψ": "ps"}
+LATIN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u",
+    "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "і": "i", "ї": "yi", "є": "ye", "ґ": "g", "ў": "u", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
+    "α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o",
+    "ά": "a", "έ": "e", "ή": "i", "ί": "i", "ό": "o", "ύ": "y", "ώ": "o", "ϊ": "i", "ϋ": "y", "ΐ": "i", "ΰ": "y",
+}
 #: Tags and attributes that clean HTML may keep.
 TAGS = frozenset("p br b i em strong u s ul ol li blockquote h1 h2 h3 h4 h5 h6 a span div hr sub sup".split())
 ATTRIBUTES = {"a": {"href", "title"}, "span": {"style"}, "p": {"style"}, "div": {"style"}}
@@ -28,11 +32,10 @@ def fold(s: str | None) -> str | None:
 
 
 def transliterate(s: str | None) -> str | None:
-    """Latin letters for Cyrillic and Greek; other text as it is."""
-    if s is None or not re.search(r"[Ͱ-ϿЀ-ӿ]", s):
+    """Latin letters, each word with a capital, for Cyrillic and Greek; other text as it is."""
+    if s is None or not re.search(r"[Ͱ-ϿЀ-ԯἀ-῿]", s):
         return s
-    base = "".join(c if c in "йё" else unicodedata.normalize("NFD", c)[0] for c in s.lower())
-    return re.sub(r"\b\w", lambda m: m[0].upper(), "".join(LATIN.get(c, c) for c in base))
+    return re.sub(r"\S+", lambda m: m[0][0].upper() + m[0][1:], "".join(LATIN.get(c.lower(), c) for c in s))
 
 
 def cosmetic(name: str | None) -> str | None:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.model import absent, contains, folded, in_or_missing, natural_key, ne_true, number_key, text_key
+from shelfspark.model import absent, absent_array, contains, folded, in_or_missing, natural_key, ne_true, number_key, text_key
 
 #: Fields of the search grammar and the columns they look at.
 FIELDS = {"titulo": ("titulo", "subtitulo", "titulo_original"), "autor": ("autores",), "editorial": ("editorial",), "idioma": ("idioma",), "cdu": ("cdu",), "coleccion": ("coleccion",), "isbn": ("isbn",), "issn": ("issn",), "lang": ("lang",), "source": ("source",)}
@@ -93,16 +93,28 @@ def prefix_semi(codes: DataFrame, code: str, rows: DataFrame, long: str) -> Data
 
 #: Named data-quality filters.
 QUALITY: dict[str, Callable[[], Column]] = {
-    "sin_isbn": lambda: absent(F.col("isbn")),
-    "sin_autor": lambda: F.col("autores").isNull() | (F.size("autores") == 0),
+    "sin_isbn": lambda: F.col("tipo_recurso").eqNullSafe("libro") & absent(F.col("isbn")),
+    "sin_autor": lambda: F.col("tipo_recurso").eqNullSafe("libro") & absent_array(F.col("autores")),
     "sin_hash": lambda: absent(F.col("hash_contenido")),
     "sin_portada": lambda: absent(F.col("portada")),
     "cdu_generica": lambda: F.col("cdu").isin("0", "00", "000"),
     "pendientes": lambda: F.col("estado_verificacion") == "pendiente",
     "sin_coleccion": lambda: absent(F.col("coleccion")),
     "revision": lambda: F.col("revision_requerida").eqNullSafe(True),
-    "tomos_sin_numero": lambda: ~absent(F.col("obra")) & absent(F.col("volumen_numero")),
+    "tomos_sin_numero": lambda: F.col("obra").isNotNull() & F.col("volumen_numero").isNull(),
 }
+#: Named filters on the work that a document is a volume of.
+WORK_QUALITY: dict[str, Callable[[], Column]] = {
+    "obras_incompletas": lambda: F.col("completa").eqNullSafe(False),
+    "obras_revision": lambda: F.col("revision_requerida").eqNullSafe(True),
+}
+
+
+def of_quality(docs: DataFrame, name: str, works: DataFrame | None = None) -> DataFrame:
+    """Documents of a named data-quality filter; those on works need the works."""
+    if name in QUALITY:
+        return docs.where(QUALITY[name]())
+    return docs.join(works.where(WORK_QUALITY[name]()).select(F.col("_id").alias("obra")), "obra", "left_semi")
 
 
 def visible_to_guests(docs: DataFrame, works: DataFrame, series: DataFrame) -> DataFrame:

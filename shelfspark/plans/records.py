@@ -51,10 +51,14 @@ def filter_nested_presence(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "events").select("event_id", F.from_json("props", "struct<k:string>").alias("p")).where("p.k is not null and try_cast(p.k as int) >= 50").select("event_id")
 
 
-@query("quality_filters", "select count(*) filter (where l.quality is null) as pending, count(*) filter (where d.lang is null or d.lang = '') as no_code, count(*) filter (where n_chars > 5000 and l.toxic is null) as review from documents d left join labels l on d.doc_id = l.doc_id")
+@query("quality_filters", "select count(*) filter (where l.quality is null) as pending, count(*) filter (where (d.lang is null or d.lang = '') and d.doc_id % 2 = 0) as no_isbn, count(*) filter (where n_chars > 5000 and l.toxic is null) as review, count(*) filter (where l.toxic is null and l.quality is not null) as no_number from documents d left join labels l on d.doc_id = l.doc_id")
 def quality_filters(spark: SparkSession, d: str) -> Row:
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.agg(F.count_if(F.col("quality").isNull()).alias("pending"), F.count_if(model.absent(F.col("lang"))).alias("no_code"), F.count_if((F.col("n_chars") > 5000) & F.col("toxic").isNull()).alias("review"))
+    """The named filters on documents, the even ones of which are books."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
+        F.when(F.col("doc_id") % 2 == 0, "libro").otherwise("revista").alias("tipo_recurso"), F.col("lang").alias("isbn"), F.when(F.col("quality").isNull(), "pendiente").alias("estado_verificacion"),
+        ((F.col("n_chars") > 5000) & F.col("toxic").isNull()).alias("revision_requerida"), F.col("quality").alias("obra"), F.col("toxic").alias("volumen_numero"))
+    named = {"pending": "pendientes", "no_isbn": "sin_isbn", "review": "revision", "no_number": "tomos_sin_numero"}
+    return rows.agg(*[F.count_if(catalog.QUALITY[q]()).alias(n) for n, q in named.items()])
 
 
 @query("unsealed_candidates", "select c_custkey from customer where case c_custkey % 3 when 0 then null else c_custkey % 3 end is distinct from 2")
@@ -129,7 +133,7 @@ def issn_checks(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "part").select("p_partkey", ident.issn(c).alias("issn"))
 
 
-@query("usable_texts", "select doc_id, length(trim(text)) >= 200 and len(regexp_extract_all(text, '\\p{L}')) >= 0.6 * length(regexp_replace(text, '\\s', '', 'g')) and len(regexp_extract_all(text, '\\p{L}{3,}')) >= 40 as usable from documents")
+@query("usable_texts", "select doc_id, length(regexp_replace(text, '\\s', '', 'g')) >= 200 and len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) >= 0.6 * length(regexp_replace(text, '\\s', '', 'g')) and len(list_filter(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ]{4,}'), lambda w: regexp_matches(w, '[aeiouáéíóúàèìòùäëïöüy]'))) >= 40 as usable from documents")
 def usable_texts(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "documents").select("doc_id", names.usable_text(F.col("text")).alias("usable"))
 
@@ -140,9 +144,11 @@ def code_trees(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "part").select("p_partkey", t.alias("t")).select("p_partkey", F.col("t.class").alias("class"), F.col("t.division").alias("division"))
 
 
-@query("crosswalk", "select p_partkey, case when p_partkey // 10 % 10 <> 0 then substr(lpad(cast(500 + p_partkey % 300 as varchar), 3, '0'), 1, case when (500 + p_partkey % 300) // 10 % 10 <> 0 then 2 else 1 end) else substr(lpad(cast(500 + p_partkey % 300 as varchar), 3, '0'), 1, case when (500 + p_partkey % 300) // 10 % 10 <> 0 then 2 else 1 end) end as udc from part")
+@query("crosswalk", "select p_partkey, case when p_partkey % 10 = 0 then '004' when p_partkey % 100 >= 10 then substr(cast(500 + p_partkey % 300 as varchar), 1, 2) else substr(cast(500 + p_partkey % 300 as varchar), 1, 1) end as udc from part")
 def crosswalk(spark: SparkSession, d: str) -> Row:
-    return table(spark, d, "part").select("p_partkey", cl.dewey_to_udc((500 + F.col("p_partkey") % 300).cast("string")).alias("udc"))
+    """Codes of computing, and of the classes 5 to 7 by tens."""
+    dewey = F.when(F.col("p_partkey") % 10 == 0, F.lit("005.133")).otherwise((500 + F.col("p_partkey") % 300).cast("string"))
+    return table(spark, d, "part").select("p_partkey", cl.dewey_to_udc(dewey).alias("udc"))
 
 
 @query("agreement_report", "select case when a = b then 'exacto' when a // 10 = b // 10 then 'misma_area' else 'difiere' end as state, count(*) as n from (select 10 + p_partkey % 80 as a, 10 + p_size as b from part) group by 1")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import blocks
 
+#: Fixed value: a printed block with the values that must be read from it.
 LOY = """Library of Congress Cataloging-in-Publication Data
 Loy, David R., 1947–
 A Buddhist history of the West : studies in lack / David R. Loy.
@@ -43,6 +44,15 @@ def test_file_names():
     assert (f("Titulo - Autor.pdf")["title"], f("Titulo - Autor.pdf")["author"]) == ("Titulo", "Autor")
 
 
+def test_bracketed_heads():
+    f = blocks.parse_file_name
+    r = f("[Fundación 2] Asimov, Isaac - Fundación e Imperio [1234] (r1.2).epub")
+    assert (r["series"], r["number"], r["author"], r["title"]) == ("Fundación", "2", "Asimov, Isaac", "Fundación e Imperio")
+    r = f("[Crítica] Uno, Ana & Dos, Luis - Título - con guion (r2.0).epub")
+    assert (r["publisher"], r["author"], r["title"]) == ("Crítica", "Uno, Ana & Dos, Luis", "Título - con guion")
+    assert f("[solo].pdf")["title"] == "[solo]" and f("[2023] Obra.pdf")["title"] == "Obra"
+
+
 def test_as_columns(spark):
     rows = spark.createDataFrame([(LOY,), (None,), ("x",)], "t string").select(blocks.cip_udf(F.col("t")).alias("c"), blocks.file_name_udf(F.lit("Quo 2015-10.pdf")).alias("f"))
     got = rows.collect()

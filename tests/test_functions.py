@@ -38,6 +38,17 @@ def test_isbn_roles(spark):
     assert [(r.isbn, r.role, r.number) for r in got] == [("8403049897", "obra", None), ("0306406152", "volumen", 1), ("9780306406157", "tapa_blanda", None)]
 
 
+def test_isbn_bindings(spark):
+    labels = {"cartonné": "tapa_dura", "soft cover": "tapa_blanda", "rústica": "tapa_blanda", "mobi": "ebook", "v. 2 : alk. paper": "volumen", "set": "obra", "alk. paper": "desconocido"}
+    (got,) = values(spark, ident.isbns_with_role, " ".join(f"0-306-40615-2 ({x})" for x in labels))
+    assert [r.role for r in got] == list(labels.values()) and got[4].number == 2
+
+
+def test_fiction(spark):
+    row = spark.range(1).select(cl.is_fiction(F.lit(None).cast("string"), F.lit(None).cast("string"), F.array(F.lit("Spanish POETRY"))).alias("a"), cl.is_fiction(F.lit(" 823"), F.lit("QA"), F.lit(None).cast("array<string>")).alias("b"), cl.is_fiction(F.lit("510"), F.lit("P1"), F.array(F.lit("x"))).alias("c")).first()
+    assert list(row) == [True, True, False]
+
+
 def test_volumes(spark):
     got = values(spark, names.volume, "Vol. 1 - United Nations.pdf", "Tomo I - Teatro.pdf", "Band 2 — Die Welt.pdf", "Endangered Species.2nd Ed.Vol1.pdf", "Obra_volumen_5.pdf", "Devolver el libro.pdf", "La evolución.pdf")
     assert [v and v.number for v in got] == [1, 1, 2, 1, 5, None, None]
@@ -61,6 +72,14 @@ def test_titles(spark):
     good = ["Web Design 2.0", "R.U.R.", "Python 3: The Complete Reference", "Documents in Contemporary Art"]
     assert values(spark, names.is_title_artefact, *bad, *good) == [True] * 5 + [False] * 4
     assert values(spark, names.is_author_artefact, "Acrobat Distiller 4.05", "García Márquez, Gabriel") == [True, False]
+    bad = ["10.1007@978-3-319-38992-9", "New Page 12", "see http://x.org", "Subject: Ebooks", "Oxford.Descartes.And.The.Puzzle", "9780470040010-title", "0393333590 (N)", "Hawking FM", "TT-Ven.qxd 1", "jan09-1.pdf", "Creator: Adobe"]
+    assert values(spark, names.is_title_artefact, *bad, "", None, "El Quijote") == [True] * len(bad) + [False] * 3
+    bad = ["2013", "{avaxhome.ws}", "Sherman 1998 May 29 10:37:50", "www.x.com", "There are even a few exercises for you, but they", "Creator: x"]
+    good = ["Anderson, Poul & Asimov, Isaac & Gardner, Martin & Clarke, Arthur", "University of Oxford", "", None]
+    assert values(spark, names.is_author_artefact, *bad, *good) == [True] * len(bad) + [False] * 4
+    assert values(spark, names.masthead, "Época núm. 12 extra", "Le Point août 2014", "Muy 2015", None) == ["Época", "Le Point", "Muy", None]
+    real = "palabra clara " * 45
+    assert values(spark, names.usable_text, real, "abc " * 200, "xyz! " * 50, None) == [True, False, False, False]
     assert [tuple(r) for r in values(spark, names.clean_title, "A :: B :: C", "A :", ":")] == [("A", "B : C"), ("A", None), (":", None)]
     assert values(spark, names.masthead, "Historia de Iberia Vieja nº145 – oct 2015", "Quo octubre 2015", "1984") == ["Historia de Iberia Vieja", "Quo", "1984"]
 
@@ -100,7 +119,7 @@ def test_absence_and_order(spark):
 
 
 def test_text(spark):
-    assert text.fold("Ñandú ÉTÉ") == "nandu ete" and text.transliterate("Толстой") == "Tolstoi" and text.transliterate("Ann") == "Ann"
+    assert text.fold("Ñandú ÉTÉ") == "nandu ete" and text.transliterate("Толстой") == "Tolstoy" and text.transliterate("Антон Чехов") == "Anton Chekhov" and text.transliterate("Βάσω") == "Vaso" and text.transliterate("Ann") == "Ann"
     assert text.same_work("abcd", "ab?d") and not text.same_work("abcd", "abce") and not text.same_work("ab", "??")
     assert text.clean_html('<p onclick="x">a<script>b</script><a href="javascript:1">c</a> &lt;</p>') == "<p>a<a>c</a> &lt;</p>"
     assert text.cosmetic("Mi Libro (2) [ocr].pdf") == "milibro"
@@ -118,6 +137,6 @@ def test_fold_is_idempotent(s):
     assert text.fold(text.fold(s)) == text.fold(s)
 
 
-@pytest.mark.parametrize("path,want", [("a/b.EPUB", "epub"), ("x.cbz", "comic"), ("noext", "desconocido"), ("x.xyz", "otro")])
+@pytest.mark.parametrize("path,want", [("a/b.EPUB", "epub"), ("x.cbz", "comic"), ("noext", "desconocido"), ("x.xyz", "otro"), ("a.M4B", "audio")])
 def test_formats(spark, path, want):
     assert values(spark, cl.file_format, path) == [want]
