@@ -51,13 +51,13 @@ def test_tolerant_title_match_of_the_whole_table(spark):
     want = set()
     for rows in by_brand.values():
         want |= {(a, b) for a, x in rows for b, y in rows if a < b and min(len(x), len(y)) and len(x & y) >= 0.6 * min(len(x), len(y))}
-    got = [(r.a, r.b) for r in registry.queries()["tolerant_title_match_all"](spark, sf).collect()]
+    got = [(r.a, r.b) for r in registry.queries()["tolerant_title_match"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(a > 400 for a, _ in want)
 
 
 def test_every_row_has_a_place_in_its_folder(spark):
     parts = spark.read.parquet(f"{SF}/part.parquet").count()
-    rows = registry.queries()["natural_order_in_folders"](spark, SF).collect()
+    rows = registry.queries()["natural_order"](spark, SF).collect()
     folders = {}
     for r in rows:
         folders.setdefault(r.p_size, []).append(r.position)
