@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import avi, bpe, iblt, langid, licenses, packing, preference, quality, sharding, simhash
+from shelfspark.llm import audit, avi, bpe, iblt, langid, licenses, packing, preference, quality, sharding, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -72,13 +72,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_next(table(spark, sf_dir, "documents"), digests=iblt.whole_digests)
 
 
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_language, op3_packing, op4_licenses, op5_sharding, op6_simhash, op7_bpe, op8_media, op9_preference, op10_fingerprint)
+    own = (op1_quality, op2_language, op3_packing, op4_licenses, op5_sharding, op6_simhash, op7_bpe, op8_media, op9_preference, op10_fingerprint, op13_audit)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_preference": PREFERENCE_SQL}
+    return {"op9_preference": PREFERENCE_SQL, "op13_audit": AUDIT_SQL}
 
 
 #: Chosen and rejected differ in one turn, so the prompt is what lies before it.
@@ -108,3 +112,30 @@ select conv_id, cast(max(k) as int) as prompt_turns, coalesce(string_agg(line, '
   coalesce(bool_or(p > k), false) as "distinct"
 from spans group by conv_id
 """
+
+#: Failure flags by document, all orders as strings, and each order's steps as sums over the documents' masks.
+AUDIT_SQL = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first from d),
+m as (
+  select doc_id, part, (len(words) < 200)::int as a, (100 * len(list_distinct(words)) < 50 * len(words))::int as b,
+    (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int as c, regexp_matches(text, '[#$%&*|]')::int as d, coalesce(doc_id > first, false)::int as e from w),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+k as (
+  select part, case when a = 1 then 'A' else '' end || case when b = 1 then 'B' else '' end || case when c = 1 then 'C' else '' end || case when d = 1 then 'D' else '' end || case when e = 1 then 'E' else '' end as fails,
+    count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from m left join l using (doc_id) group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (
+  select p.x || q.x || r.x || s.x || t.x as filter_order from f p, f q, f r, f s, f t
+  where p.x not in (q.x, r.x, s.x, t.x) and q.x not in (r.x, s.x, t.x) and r.x not in (s.x, t.x) and s.x <> t.x),
+st as (select filter_order, step::int as step, filter_order[step:step] as own, filter_order[1:step - 1] as prior from o, range(1, 6) g(step)),
+z as (
+  select part, filter_order, step, own, n, good, toxic, contains(fails, own) as fail, regexp_matches(fails, '[' || prior || '0]') as gone, fails = own as only_one from k, st),
+r as (
+  select part, filter_order, step, own, coalesce(sum(n) filter (where not fail and not gone), 0)::bigint as kept, coalesce(sum(n) filter (where fail and not gone), 0)::bigint as removed,
+    coalesce(sum(n) filter (where fail and gone), 0)::bigint as redundant, coalesce(sum(n) filter (where only_one), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where fail and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where fail and not gone), 0)::bigint as toxic_lost
+  from z group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r
+"""
