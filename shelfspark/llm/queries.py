@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import audit, avi, bpe, iblt, langid, licenses, packing, preference, quality, sharding, simhash
+from shelfspark.llm import audit, avi, bpe, collocations, iblt, langid, licenses, packing, preference, quality, sharding, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -72,17 +72,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_next(table(spark, sf_dir, "documents"), digests=iblt.whole_digests)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_language, op3_packing, op4_licenses, op5_sharding, op6_simhash, op7_bpe, op8_media, op9_preference, op10_fingerprint, op13_audit)
+    own = (op1_quality, op2_language, op3_packing, op4_licenses, op5_sharding, op6_simhash, op7_bpe, op8_media, op9_preference, op10_fingerprint, op11_collocations, op13_audit)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_preference": PREFERENCE_SQL, "op13_audit": AUDIT_SQL}
+    return {"op9_preference": PREFERENCE_SQL, "op11_collocations": COLLOCATION_SQL, "op13_audit": AUDIT_SQL}
 
 
 #: Chosen and rejected differ in one turn, so the prompt is what lies before it.
@@ -139,3 +143,25 @@ r as (
   from z group by all)
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r
 """
+
+#: All phrases of pieces, counted; each cut's parts are phrases too.
+COLLOCATION_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+s as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from s, range(1, 5) r(k) where i + k - 1 <= len(w)),
+f as (select lang, phrase, k::int as k, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, phrase, string_split(phrase, ' ') as w, k, f as a from f where k between 2 and 4 and f >= 30),
+cut as (select lang, phrase, w, c.k as len, a, j::int as j, array_to_string(w[1:j], ' ') as x, array_to_string(w[j + 1:], ' ') as y from c, range(1, 4) q(j) where j < c.k),
+sc as (
+  select cut.lang, cut.phrase, a, j, lf.f as l, rf.f as r, (2000000::hugeint * a // (lf.f + rf.f))::bigint as score
+  from cut join f lf on lf.lang = cut.lang and lf.phrase = x join f rf on rf.lang = cut.lang and rf.phrase = y),
+one as (select * from sc qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+sub as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as longer from c, range(2, 4) q(m), range(1, 4) z(i) where m < c.k and i + m - 1 <= c.k group by all),
+kept as (select one.* from one left join sub using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, rank, phrase, a, l, r, n, score from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score from kept) join n using (lang) where rank <= 2000
+"""
