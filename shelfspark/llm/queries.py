@@ -148,9 +148,12 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 COLLOCATION_SQL = r"""
 with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
-w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
-s as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
-g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from s, range(1, 5) r(k) where i + k - 1 <= len(w)),
+q as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+u as (select lang, id, unnest(w) as x, generate_subscripts(w, 1) as i from q),
+e as (select lang, x, lead(x, 1) over v as x2, lead(x, 2) over v as x3, lead(x, 3) over v as x4 from u window v as (partition by id order by i)),
+g as (
+  select lang, 1 as k, x as phrase from e union all select lang, 2, x || ' ' || x2 from e where x2 is not null
+  union all select lang, 3, x || ' ' || x2 || ' ' || x3 from e where x3 is not null union all select lang, 4, x || ' ' || x2 || ' ' || x3 || ' ' || x4 from e where x4 is not null),
 f as (select lang, phrase, k::int as k, count(*) as f from g group by all),
 n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
 c as (select lang, phrase, string_split(phrase, ' ') as w, k, f as a from f where k between 2 and 4 and f >= 30),
