@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import audit, avi, bpe, collocations, iblt, langid, licenses, packing, preference, quality, sharding, simhash
+from shelfspark.llm import audit, avi, bpe, collocations, iblt, langid, licenses, packing, preference, quality, secrets, sharding, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -76,12 +76,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_language, op3_packing, op4_licenses, op5_sharding, op6_simhash, op7_bpe, op8_media, op9_preference, op10_fingerprint, op11_collocations, op13_audit)
+    own = (op1_quality, op2_language, op3_packing, op4_licenses, op5_sharding, op6_simhash, op7_bpe, op8_media, op9_preference, op10_fingerprint, op11_collocations, op12_secrets, op13_audit)
     return {f.__name__: f for f in own}
 
 
