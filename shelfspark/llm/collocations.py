@@ -34,7 +34,7 @@ from shelfspark.llm.skew import salted
 
 #: Separators of pieces all become a full stop, a tab a space, capitals A-Z small letters.
 _TABLE = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-SHARD_BYTES, RANGE_BYTES, FILTER_BITS = 16 << 20, 16 << 20, 27
+SHARD_BYTES, RANGE_BYTES, FILTER_BITS = 6 << 20, 8 << 20, 27
 DEPTH = 4
 
 
@@ -75,27 +75,28 @@ class Trie:
         coded = pa.chunked_array(each).combine_chunks() if len(each) > 1 else each[0]
         coded = coded.dictionary_encode()
         by_name = pc.sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(by_name), np.int64)
+        rank = np.empty(len(by_name), np.int32)
         rank[by_name] = np.arange(len(by_name))
         self.words: list[str] = coded.dictionary.take(pa.array(by_name)).to_pylist()
         ids = rank[coded.indices.to_numpy()]
-        lang = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        lang = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+        del each, coded
         blank, stop = (bisect_left(self.words, x) for x in ("", "."))
         if blank < len(self.words) and self.words[blank] == "":
             lang, ids = lang[ids != blank], ids[ids != blank]
         n, v = len(ids), max(len(self.words), 1)
         is_word = ids != stop
-        after = np.minimum.accumulate(np.where(is_word, n, np.arange(n))[::-1])[::-1]
-        room = after - np.arange(n)  # words from here to the end of the piece
+        place = np.arange(n, dtype=np.int32)
+        room = np.minimum.accumulate(np.where(is_word, np.int32(n), place)[::-1])[::-1] - place  # words from here to the end of the piece
         if pairs is not None:
             h, of_lang = hashes(self.words), hashes(self.langs)
             some = np.flatnonzero(room >= 2)
             spot = mixed(mixed(of_lang[lang[some]], h[ids[some]]), h[ids[some + 1]]) >> np.uint64(64 - FILTER_BITS)
             frequent = np.zeros(n, bool)
             frequent[some] = (pairs[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-        self.levels = [(np.zeros(len(each), np.int64), np.arange(len(each)), np.bincount(lang[is_word], minlength=len(each)))]
+        self.levels = [(np.zeros(len(self.langs), np.int64), np.arange(len(self.langs)), np.bincount(lang[is_word], minlength=len(self.langs)))]
         at = np.flatnonzero(is_word)
-        node = lang[at]
+        node = lang[at].astype(np.int64)
         for d in range(1, depth + 1):
             if d > 1:
                 here = room[at] >= d
