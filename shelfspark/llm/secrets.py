@@ -148,7 +148,7 @@ class Network:
             size += x[3] - x[2] + BEFORE + AFTER
             if size >= budget or i + 1 == len(spans):
                 pooled, _ = self.pooled(*sequences(data, own))
-                out.append(np.maximum(pooled @ self.hidden + self.hidden_b, 0) @ self.out + self.out_b)
+                out.append(np.tanh(pooled @ self.hidden + self.hidden_b) @ self.out + self.out_b)
                 own, size = [], 0
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -185,10 +185,10 @@ def train(findings: list[Finding], *, filters: int = 16, hidden: int = 12, round
             own = order[lo : lo + batch]
             codes, at, inner, outer = sequences(data, [spans[i] for i in own])
             pooled, h = net.pooled(codes, at, inner, outer)
-            z = np.maximum(pooled @ net.hidden + net.hidden_b, 0)
+            z = np.tanh(pooled @ net.hidden + net.hidden_b)
             p = 1 / (1 + np.exp(-np.clip(z @ net.out + net.out_b, -30, 30)))
             d = (p - y[own]) * weight[own] / len(own)
-            dz = np.outer(d, net.out) * (z > 0)
+            dz = np.outer(d, net.out) * (1 - z * z)
             dp = dz @ net.hidden.T
             g = {"out": z.T @ d, "hidden": pooled.T @ dz, "hidden_b": dz.sum(0), "w": np.zeros_like(net.w)}
             dh = np.zeros_like(h)
@@ -225,7 +225,9 @@ def calibrate(net: Network, findings: list[Finding], recall: float) -> Network:
     p = net.probabilities(data, spans)
     groups = {f[4] for f in findings if f[3]}
     of = np.array([f[4] for f in findings], object)
-    net.threshold = min(np.sort(own)[int((1 - recall) * len(own))] for own in (p[(y == 1) & (of == g)] for g in groups))
+    highest = min(np.sort(own)[int((1 - recall) * len(own))] for own in (p[(y == 1) & (of == g)] for g in groups))
+    below = p[p < highest].max(initial=0.0)
+    net.threshold = float(highest + below) / 2  # the middle of the gap, so that no finding lies on the threshold itself
     return net
 
 
