@@ -27,8 +27,8 @@ def parse_fields(query: str, names: tuple[str, ...] = tuple(FIELDS)) -> tuple[li
     marks = list(re.finditer(rf"(?<!\S)(-?)({'|'.join(map(re.escape, names))}):", query, re.IGNORECASE))
     free = query[: marks[0].start()].strip() if marks else query.strip()
     got: dict[tuple[str, bool], list[str]] = {}
-    for m, after in zip(marks, [*marks[1:], None], strict=True):
-        value = query[m.end() : after.start() if after else len(query)].strip()
+    for m, end in zip(marks, [*(x.start() for x in marks[1:]), len(query)], strict=False):
+        value = query[m.end() : end].strip()
         if value:
             got.setdefault((m[2].lower(), m[1] == "-"), []).append(value)
     return [Term(f, " ".join(v), n) for (f, n), v in got.items()], free

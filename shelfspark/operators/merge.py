@@ -20,7 +20,7 @@ def merge_records(base: DataFrame, incoming: DataFrame, key: str, *, fill: list[
     there = lambda c: F.when(~absent(F.col(c).cast("string")), F.col(c))
     free = F.coalesce(F.col("pending"), F.lit(False)) & ~F.coalesce(F.col("locked"), F.lit(False))
     out = {c: F.coalesce(there(c), F.col(f"_{c}")) for c in fill}
-    out |= {c: F.when(free, F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.coalesce(F.col(c), F.col(f"_{c}"))) for c in upgrade}
+    out |= {c: F.when(free, F.coalesce(there(f"_{c}"), F.col(c))).otherwise(F.coalesce(there(c), F.col(f"_{c}"))) for c in upgrade}
     empty = lambda c: F.coalesce(F.col(c), F.array())
     out |= {c: F.array_union(empty(c), empty(f"_{c}")) for c in union}
     return rows.withColumns(out).drop(*(f"_{c}" for c in (*fill, *upgrade, *union)))
