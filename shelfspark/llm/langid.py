@@ -135,16 +135,16 @@ def learnable(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int = 256) -> LanguageModel:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400) -> LanguageModel:
     """Fit on labelled rows outside fold 2; rows without an id belong to no fold and are left out.
 
-    ``rows_per_language`` bounds the sample: from each of the ``languages`` most frequent values of the label at most that
-    many rows are expected, chosen by a hash of id and text; rows that repeat both count once.
+    ``rows_per_language`` bounds the sample: from each value of the label at most that many rows are
+    expected, chosen by a hash of id and text; rows that repeat both count once.
     """
     rows = learnable(docs, text_col, lang_col).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 2))
     ship(docs.sparkSession)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a value of the label
     if not counts:
         return LanguageModel()
     share = F.lit(0.0)

@@ -221,7 +221,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
                     places.append(sum(1 for _ in word_start.finditer(low, 0, x[0] + 1)) - 1)
                 labels = sorted({r.label for _, _, r in base + taken})
                 best = max([r.priority for _, _, r in taken] + [40 * bool(base)], default=0)
-                rows.append((n, len(base), places[0] if base else None, places[1] if base else None, ",".join(sorted({r.label for _, _, r in base})), ",".join(labels), best / 100 + (0.1 if base and taken else 0.0), [f"{a}:{b}:{r.label}" for a, b, r in taken]))
+                rows.append((n, len(base), places[0] if base else None, places[1] if base else None, ",".join(sorted({r.label for _, _, r in base})), ",".join(labels), min(1.0, best / 100 + (0.1 if base and taken else 0.0)), [f"{a}:{b}:{r.label}" for a, b, r in taken]))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 

@@ -113,6 +113,20 @@ def test_licenses(docs, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_license_scores_stay_within_one(spark):
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    texts = [header, "SPDX-License-Identifier: MIT. All rights reserved.", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0. All rights reserved.", header + " All rights reserved. cc by"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == 4 and all(0 < r.score <= 1 and r.labels for r in rows)
+
+
+def test_every_language_is_learned(spark):
+    """Labels beyond the most frequent ones can be predicted too."""
+    rows = [(i, " ".join(f"{chr(97 + i % 20)}{chr(98 + i // 20 % 20)}{w}" for w in range(30)), f"x{i % 300:03}") for i in range(1200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
+
+
 def test_sharding(docs, nothing):
     out = sharding.assign(docs, shards=5, rows_per_slot_block=4).collect()
     assert len(out) == len(ROWS)
