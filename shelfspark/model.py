@@ -8,9 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented small letters of the Latin script and the plain ones they fold to, position by position.
-ACCENTED = "".join(c for c in map(chr, (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))) if c.islower() and "a" <= unicodedata.normalize("NFD", c)[0] <= "z")
-PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f")
+
+
+#: Combining marks, and the small letters of all scripts that are one letter with such marks; each folds to that letter.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+ACCENTED = "".join(c for c in map(chr, (*range(0xE0, 0x590), *range(0x1E00, 0x2000))) if c == c.lower() and unicodedata.category(c)[0] == "L" and _plain(c) != c and len(_plain(c)) == 1)
+PLAIN = "".join(map(_plain, ACCENTED))
 LAST_TEXT, LAST_NUMBER = "zzzzzzzz", 1e9
 
 
@@ -61,8 +66,13 @@ def text_key(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Lower case without accents, for comparison."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents of any script, for comparison."""
+    return F.translate(F.lower(c), ACCENTED + MARKS, PLAIN)  # marks beyond the plain letters are dropped
+
+
+def fold(text: str) -> str:
+    """What :func:`folded` makes of a text, for a query's own words."""
+    return text.lower().translate(str.maketrans(ACCENTED, PLAIN, MARKS))
 
 
 def natural_key(c: Column) -> Column:

@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the checkpoint folder, which ends its lineage."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all machines share; only a local session without one gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         own = context.getConf().get("spark.checkpoint.dir")
         if not own and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="shelfspark-"))
-    path = f"{context.getCheckpointDir()}/links-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, which ends its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/links-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

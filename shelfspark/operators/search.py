@@ -1,82 +1,14 @@
-"""Text search over an inverted index: prefix AND, phrase, keyword hits, bm25."""
+"""Text conditions on rows themselves, for tables without an index; searches of an index are in ``index``."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfspark.model import folded
-
-
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def build_index(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``id, field, term, tf, length``: one row for each term of each field of a document."""
-    one = None
-    for c in columns:
-        words = docs.select(F.col(id_col).alias("id"), F.lit(c).alias("field"), tokens(F.col(c)).alias("w"))
-        rows = words.select("id", "field", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "field", "term", "length").agg(F.count("*").alias("tf"))
-        one = rows if one is None else one.unionByName(rows)
-    return one
-
-
-def upsert_index(index: DataFrame, changed: DataFrame) -> DataFrame:
-    """The index with the changed documents' rows replaced."""
-    return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(changed)
-
-
-def match_all_prefixes(index: DataFrame, query: list[str]) -> DataFrame:
-    """Ids of documents with, for every token, a word that it begins; any field, any order."""
-    some = reduce(lambda x, y: x | y, (F.col("term").startswith(q) for q in query))
-    found = [F.max(F.col("term").startswith(q)).alias(f"_{i}") for i, q in enumerate(query)]
-    rows = index.where(some).groupBy("id").agg(*found)
-    return rows.where(reduce(lambda x, y: x & y, (F.col(f"_{i}") for i in range(len(query))))).select("id")
+from shelfspark.operators.index import tokens
 
 
 def phrase(c: Column, query: str) -> Column:
     """The query's words side by side in one column."""
     pad = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    return F.contains(pad(tokens(c)), pad(tokens(F.lit(query))))
-
-
-def bm25(index: DataFrame, n_docs: int, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``id, score`` over exact terms, higher is better.
-
-    The average length comes from one pass over documents; term statistics only from the query's terms.
-    """
-    docs = index.select("id", "field", "length").distinct().groupBy("id").agg(F.sum("length").alias("dl"))
-    mean = docs.agg((F.sum("dl") / F.lit(n_docs)).alias("avgdl"))
-    tf = index.where(F.col("term").isin(*query)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(F.broadcast(df), "term").join(docs, "id").crossJoin(F.broadcast(mean)).groupBy("id").agg(F.sum(part).alias("score"))
-
-
-def bm25_scan(docs: DataFrame, id_col: str, columns: list[str], query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``id, score`` like :func:`bm25`, without an index: no word is shuffled.
-
-    Each row counts its own words and the query's; only one row of statistics (documents, mean length and how many have
-    each term) is gathered, and joined back.
-    """
-    words = tokens(F.concat_ws(" ", *columns))
-    times = lambda q: F.size(F.filter("w", lambda x: x == q))
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.size("w").alias("dl"), *(times(q).alias(f"tf{i}") for i, q in enumerate(query)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
-
-    def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("mean")))).otherwise(0.0)
-
-    hit = rows.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(query)))))
-    return hit.crossJoin(F.broadcast(stats)).select("id", reduce(lambda x, y: x + y, map(part, range(len(query)))).alias("score"))
-
-
-def keyword_rank(hits: DataFrame) -> DataFrame:
-    """``id, hits, best`` from rows ``id, keyword, rank``: most keywords first, then the best single rank."""
-    return hits.groupBy("id").agg(F.count_distinct("keyword").alias("hits"), F.min("rank").alias("best"))
+    return (F.size(tokens(F.lit(query))) > 0) & F.contains(pad(tokens(c)), pad(tokens(F.lit(query))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import model
 from shelfspark.functions import identifiers as ident
-from shelfspark.operators import catalog, search
+from shelfspark.operators import catalog
 from shelfspark.plans.registry import query, table
 
 Row = DataFrame
@@ -351,37 +351,6 @@ def components_of_links(spark: SparkSession, d: str) -> Row:
     return connected(chained(table(spark, d, "documents"), "doc_id", ["source", "n_chars"]))
 
 
-@query("bm25_top", """
-with t as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from documents),
-x as (select doc_id, len(w) as dl, len(list_filter(w, lambda y: y = 'license')) as t1, len(list_filter(w, lambda y: y = 'the')) as t2 from t),
-n as (select count(*) as nd, sum(dl) / count(*) as av, count(*) filter (where t1 > 0) as d1, count(*) filter (where t2 > 0) as d2 from x)
-select doc_id, round(case when t1 > 0 then ln(1 + (nd - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / av)) else 0 end + case when t2 > 0 then ln(1 + (nd - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * dl / av)) else 0 end, 6) as score
-from x, n where t1 > 0 or t2 > 0 order by score desc, doc_id limit 50
-""")
-def bm25_top(spark: SparkSession, d: str) -> Row:
-    ranked = search.bm25_scan(table(spark, d, "documents"), "doc_id", ["text"], ["license", "the"])
-    return ranked.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-
-
-@query("prefix_and_search", "select doc_id from documents where len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'licen'))) > 0 and len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'vers'))) > 0")
-def prefix_and_search(spark: SparkSession, d: str) -> Row:
-    return search.match_all_prefixes(search.build_index(table(spark, d, "documents"), "doc_id", ["text"]), ["licen", "vers"]).select(F.col("id").alias("doc_id"))
-
-
-@query("phrase_search", "select doc_id from documents where contains(' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' apache license ')")
-def phrase_search(spark: SparkSession, d: str) -> Row:
-    return table(spark, d, "documents").where(search.phrase(F.col("text"), "Apache License")).select("doc_id")
-
-
-@query("keyword_ranking", "select doc_id, (case when contains(text, 'License') then 1 else 0 end) + (case when contains(text, ' the ') then 1 else 0 end) as hits from documents where contains(text, 'License') or contains(text, ' the ')")
-def keyword_ranking(spark: SparkSession, d: str) -> Row:
-    docs, hits = table(spark, d, "documents"), None
-    for i, k in enumerate(["License", " the "]):
-        rows = docs.where(F.contains("text", F.lit(k))).select(F.col("doc_id").alias("id"), F.lit(i).alias("keyword"), F.col("n_chars").alias("rank"))
-        hits = rows if hits is None else hits.unionByName(rows)
-    return search.keyword_rank(hits).select(F.col("id").alias("doc_id"), F.col("hits").cast("int").alias("hits"))
-
-
 _SUM13 = " + ".join(f"cast(substr(b, {i}, 1) as int) * {1 if i % 2 else 3}" for i in range(1, 13))
 
 

@@ -208,14 +208,6 @@ def subject_search(spark: SparkSession, d: str) -> Row:
     return kinds.where(hit).orderBy(model.natural_key(F.col("p_type"))).limit(30)
 
 
-@query("discovered_titles", "select p_name, min(p_partkey) as first_part from part where len(list_filter(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'ste'))) > 0 or len(list_filter(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'wid'))) > 0 group by 1")
-def discovered_titles(spark: SparkSession, d: str) -> Row:
-    index = search.build_index(table(spark, d, "part"), "p_partkey", ["p_name"])
-    ids = search.match_all_prefixes(index, ["ste"]).unionAll(search.match_all_prefixes(index, ["wid"])).distinct()
-    rows = table(spark, d, "part").join(ids.select(F.col("id").alias("p_partkey")), "p_partkey", "left_semi")
-    return rows.groupBy("p_name").agg(F.min("p_partkey").alias("first_part"))
-
-
 @query("files_by_format", "select case when page_id % 3 = 0 then 'pdf' when page_id % 3 = 1 then 'epub' else 'desconocido' end as kind, count(*) as n from pages group by 1")
 def files_by_format(spark: SparkSession, d: str) -> Row:
     name = F.concat(F.lit("dir.x/f"), F.element_at(F.array(F.lit(".PDF"), F.lit(".epub"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int")))

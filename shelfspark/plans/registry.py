@@ -29,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     import shelfspark.plans.catalogue
-    import shelfspark.plans.records  # noqa: F401  both register
+    import shelfspark.plans.records
+    import shelfspark.plans.searches  # noqa: F401  all register
 
 
 def queries() -> dict[str, Query]:
