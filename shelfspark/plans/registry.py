@@ -29,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     import shelfspark.plans.catalogue
+    import shelfspark.plans.library
     import shelfspark.plans.records
     import shelfspark.plans.searches  # noqa: F401  all register
 
