@@ -92,12 +92,5 @@ def remapped(rows: DataFrame, column: str, remap: DataFrame) -> DataFrame:
     return rows.drop(column).join(got.select("_id", F.array_distinct(F.filter(F.col("x.k"), lambda k: k.isNotNull())).alias(column)), "_id")
 
 
-def next_free(taken: DataFrame, group: str, number: str) -> DataFrame:
-    """The least positive number that a group has not taken."""
-    most = taken.groupBy(group).agg(F.max(number).alias("m"))
-    every = most.select(group, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m").cast("long") + 1)).alias(number))
-    return every.join(taken.select(group, F.col(number).cast("long").alias(number)), [group, number], "left_anti").groupBy(group).agg(F.min(number).alias("free"))
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.names import canonical_key, volume
 from shelfspark.functions.text import same_work
 from shelfspark.model import absent, folded
+from shelfspark.operators.numbers import gaps
 
 
 def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
@@ -27,19 +28,34 @@ def resolve_series(rows: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def inventory(volumes: DataFrame, works: DataFrame) -> DataFrame:
-    """For each work its numbers from 1 to the total with the document or null, what is present, and whether it is whole.
+    """For each work its volumes in order, the runs of numbers that are missing up to the total, and whether it is whole.
 
-    The first document that claims a number keeps it; the others are without number and ask for review.
+    The total is the declared one or the largest number, whichever is larger.  The first document that claims a number keeps
+    it; the others, and those without a number, ask for review.  Nothing is counted up to the largest number; what lists every
+    number is :func:`listed`.
     """
-    ranked = volumes.withColumn("_r", F.row_number().over(Window.partitionBy("obra", "numero").orderBy("_id")))
-    kept = ranked.where("_r = 1 and numero is not null")
-    loose = ranked.where("_r > 1 or numero is null").groupBy("obra").agg(F.array_sort(F.collect_list("_id")).alias("sin_numero"))
-    most = kept.groupBy("obra").agg(F.max("numero").alias("m"))
-    total = works.join(most, "obra", "left").select("obra", F.greatest(F.coalesce("total", F.lit(0)), F.coalesce("m", F.lit(0))).cast("int").alias("total"))
-    numbers = total.where("total > 0").select("obra", "total", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("numero"))
-    rows = numbers.join(kept.select("obra", F.col("numero").cast("int").alias("numero"), F.col("_id")), ["obra", "numero"], "left")
-    got = rows.groupBy("obra", "total").agg(F.array_sort(F.collect_list(F.struct("numero", "_id"))).alias("volumenes"), F.count("_id").alias("presentes"))
-    return got.join(loose, "obra", "left").withColumns({"completa": F.col("presentes") == F.col("total"), "revision": F.size(F.coalesce("sin_numero", F.array().cast("array<string>"))) > 0})
+    first = volumes.where("numero is not null").groupBy("obra", "numero").agg(F.min("_id").alias("_first"))
+    judged = volumes.join(first, ["obra", "numero"], "left").withColumn("_keeps", F.coalesce(F.col("_id") == F.col("_first"), F.lit(False)))
+    lists = judged.groupBy("obra").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_keeps"), F.struct(F.col("numero").cast("long").alias("numero"), "_id")))).alias("volumenes"), F.array_sort(F.collect_list(F.when(~F.col("_keeps"), F.col("_id")))).alias("sin_numero"),
+        F.count_if(F.col("_keeps") & (F.col("numero") >= 1)).alias("presentes"), F.max(F.when(F.col("_keeps"), F.col("numero"))).cast("long").alias("_most"),
+    )
+    missing = gaps(first.select("obra", "numero"), "obra", "numero", works.select("obra", "total")).groupBy("obra").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("huecos"))
+    rows = works.select("obra", F.col("total").cast("long").alias("_declared")).join(lists, "obra", "left").join(missing, "obra", "left")
+    total = F.greatest(F.coalesce("_declared", F.lit(0)), F.coalesce("_most", F.lit(0)))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    out = rows.select(
+        "obra", total.alias("total"), none("volumenes", lists.schema["volumenes"].dataType).alias("volumenes"), none("huecos", missing.schema["huecos"].dataType).alias("huecos"),
+        F.coalesce("presentes", F.lit(0)).alias("presentes"), none("sin_numero", lists.schema["sin_numero"].dataType).alias("sin_numero"),
+    )
+    return out.withColumns({"completa": (F.col("total") > 0) & (F.size("huecos") == 0), "revision": F.size("sin_numero") > 0})
+
+
+def listed(inventories: DataFrame) -> DataFrame:
+    """``obra, numero, _id``: every number from 1 to the total, with its document or null."""
+    there = inventories.select("obra", F.explode("volumenes").alias("v")).select("obra", "v.numero", "v._id").where("numero >= 1")
+    gone = inventories.select("obra", F.explode("huecos").alias("h")).select("obra", F.explode(F.sequence("h.first", "h.last")).alias("numero"), F.lit(None).cast(there.schema["_id"].dataType).alias("_id"))
+    return there.unionByName(gone)
 
 
 def works_by_folder(files: DataFrame) -> DataFrame:

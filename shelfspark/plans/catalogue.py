@@ -375,17 +375,6 @@ def content_hashes(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("volume_inventory", """
-select o.l_orderkey, n.number, l.l_partkey from (select l_orderkey, max(l_linenumber) as total from lineitem where l_quantity > 5 group by 1) o, lateral (select unnest(range(1, o.total + 1)) as number) n
-left join (select * from lineitem where l_quantity > 5) l on l.l_orderkey = o.l_orderkey and l.l_linenumber = n.number
-""")
-def volume_inventory(spark: SparkSession, d: str) -> Row:
-    """Every number from 1 to the total, with its volume or null."""
-    rows = table(spark, d, "lineitem").where("l_quantity > 5")
-    numbers = rows.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("total")).select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("number"))
-    return numbers.join(rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("number"), "l_partkey"), ["l_orderkey", "number"], "left")
-
-
 @query("merge_fill_gaps", """
 select c_custkey, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_name end, ''), 'new ' || c_custkey) as name, case when c_custkey % 5 = 0 then c_acctbal + 1 else c_acctbal end as balance from customer
 """)

@@ -164,11 +164,6 @@ def marc_records(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "part").select("p_partkey", F.regexp_extract(xml, r'tag="245"[^>]*><subfield code="a">([^<]*)<', 1).alias("p_name"))
 
 
-@query("next_free_number", "select l_orderkey, min(n) as free from (select l_orderkey, unnest(range(1, max(l_linenumber) + 2)) as n from lineitem group by 1) x where not exists (select 1 from lineitem l where l.l_orderkey = x.l_orderkey and l.l_linenumber = x.n) group by 1")
-def next_free_number(spark: SparkSession, d: str) -> Row:
-    return merge.next_free(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber")
-
-
 @query("guarded_delete", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def guarded_delete(spark: SparkSession, d: str) -> Row:
     return merge.delete_unreferenced(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders").where("o_totalprice > 300000"), "o_custkey")

@@ -31,7 +31,8 @@ def _load() -> None:
     import shelfspark.plans.catalogue
     import shelfspark.plans.library
     import shelfspark.plans.records
-    import shelfspark.plans.searches  # noqa: F401  all register
+    import shelfspark.plans.searches
+    import shelfspark.plans.surgery  # noqa: F401  all register
 
 
 def queries() -> dict[str, Query]:

@@ -43,8 +43,6 @@ def test_dml(spark):
     assert {r._id: (r.isbn, r.revision_requerida) for r in flagged.collect()} == {"a": ("k", False), "b": (None, True), "c": (None, False)}
     remap = spark.createDataFrame([("x", "z")], "old string, new string")
     assert merge.remapped(rows.withColumn("docs", F.array(F.lit("x"), F.lit("z"))), "docs", remap).first().docs == ["z"]
-    taken = spark.createDataFrame([("g", 1), ("g", 2), ("g", 4), ("h", 2)], "g string, n long")
-    assert {r.g: r.free for r in merge.next_free(taken, "g", "n").collect()} == {"g": 3, "h": 1}
 
 
 def test_clusters(spark):
@@ -59,8 +57,10 @@ def test_clusters(spark):
 def test_inventory(spark):
     volumes = spark.createDataFrame([("w", "doc-1", 1), ("w", "doc-3", 3), ("w", "doc-4", 3)], "obra string, _id string, numero int")
     works = spark.createDataFrame([("w", 3)], "obra string, total int")
-    r = resolve.inventory(volumes, works).first()
-    assert [tuple(v) for v in r.volumenes] == [(1, "doc-1"), (2, None), (3, "doc-3")] and (r.presentes, r.completa, r.sin_numero, r.revision) == (2, False, ["doc-4"], True)
+    got = resolve.inventory(volumes, works)
+    r = got.first()
+    assert [tuple(v) for v in r.volumenes] == [(1, "doc-1"), (3, "doc-3")] and [tuple(h) for h in r.huecos] == [(2, 2)] and (r.presentes, r.completa, r.sin_numero, r.revision) == (2, False, ["doc-4"], True)
+    assert sorted((x.numero, x._id) for x in resolve.listed(got).collect()) == [(1, "doc-1"), (2, None), (3, "doc-3")]
 
 
 def test_resolution(spark):
