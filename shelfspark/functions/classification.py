@@ -21,22 +21,26 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def udc_clean(c: Column) -> Column:
-    """A UDC code fit for a path: what a blank and a letter begin is cut, as are forbidden characters and open brackets."""
-    s = F.translate(F.element_at(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+\p{L}", 2), 1), ':"<>/\\|?*', "__")
-    s = F.regexp_replace(F.regexp_replace(s, r"[\s\x00-\x1f]+", ""), "__+", "_")
-    depth = F.aggregate(
-        F.split(s, ""),
-        F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("cut")),
-        lambda a, x: _step(a, x),
-    )
-    s = F.when(depth["d"] > 0, F.call_function("substring", s, F.lit(1), depth["cut"])).otherwise(s)
-    return F.substring(F.rtrim(F.ltrim(s, F.lit("._-")), F.lit("._-(")), 1, 60)
+#: What a path can't hold, and what stands for it (the rest goes).
+FORBIDDEN, STAND_INS = ':"<>/\\|?*', "__"
+#: How deep brackets of a code may lie in each other.
+NESTED = 8
 
 
-def _step(a: Column, x: Column) -> Column:
-    d = F.when(x == "(", a["d"] + 1).when((x == ")") & (a["d"] > 0), a["d"] - 1).otherwise(a["d"])
-    return F.struct(d.alias("d"), (a["i"] + 1).alias("i"), F.when(d == 0, a["i"] + 1).otherwise(a["cut"]).alias("cut"))
+def udc_clean(c: Column) -> Column:
+    """A UDC code fit for a path of at most 60 characters.
+
+    The code is the first word and those after it that begin with no letter.  Pairs of brackets are marked from the inside
+    out; the code ends before the first bracket that is never closed.
+    """
+    words = F.split(F.trim(F.coalesce(c, F.lit(""))), r"[\s\x00-\x1f]+")
+    begins = F.transform(words, lambda w, i: (i > 0) & w.rlike(r"^\p{L}"))
+    kept = F.when(F.array_contains(begins, True), F.slice(words, 1, F.array_position(begins, True).cast("int") - 1)).otherwise(words)
+    code = F.array_join(F.split(F.translate(F.array_join(kept, ""), FORBIDDEN, STAND_INS), "_+"), "_")
+    for _ in range(NESTED):
+        code = F.regexp_replace(code, r"\(([^()]*)\)", "\u0002$1\u0003")
+    whole = F.translate(F.call_function("substring_index", code, F.lit("("), F.lit(1)), "\u0002\u0003", "()")
+    return F.substring(F.rtrim(F.ltrim(whole, F.lit("._-")), F.lit("._-(")), 1, 60)
 
 
 def udc_tree(c: Column) -> Column:
