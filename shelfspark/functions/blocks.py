@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from shelfspark.functions.names import AUTHOR_MARKS, MONTHS
+from shelfspark.functions.names import AUTHOR_PROGRAMS, DOMAINS, MONTHS, PROSE
 
 #: The headings that open a block, and the source that each names.
 HEADINGS = (
@@ -77,6 +77,13 @@ def parse_cip(text: str | None) -> dict | None:
     return out
 
 
+def _may_be_person(p: str) -> bool:
+    """A few words with letters, none of prose, a program or a web address."""
+    words = p.lower().split()
+    ends = {w.rpartition(".")[2] for w in words if "." in w.rstrip(".")}
+    return any(c.isalpha() for c in p) and len(words) < 8 and not (len(words) > 2 and set(words) & set(PROSE)) and not ends & set(DOMAINS) and not any(x in p.lower() for x in AUTHOR_PROGRAMS)
+
+
 def parse_file_name(name: str | None) -> dict | None:
     """ISBN, title, author, series, number, year and month of a file's name, by the first form that fits."""
     if not name or not name.strip():
@@ -90,7 +97,7 @@ def parse_file_name(name: str | None) -> dict | None:
     out |= marks
     if author_first:
         who, dash, what = base.partition(" - ")
-        people = [p.strip() for p in who.split("&") if re.search(r"[^\W\d_]", p) and not re.search("|".join(AUTHOR_MARKS), p.strip(), re.I)]
+        people = [p.strip() for p in who.split("&") if _may_be_person(p)]
         return out | ({"author": " & ".join(people) or None, "title": what.strip()} if dash else {"title": base})
     bracketed = re.fullmatch(r"(.+?)\s*\[(.+?)\s+(\d+)\]\s*(.*)", base)
     if bracketed:  # Author [Series N] Title

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.model import fold, folded
+from shelfspark.shipping import shipped
 
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
@@ -70,6 +71,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings_of(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``term, id, field, tf, dl, positions`` of each term of each field; ``dl`` counts the words of all fields."""
+    shipped(docs.sparkSession)
     split = docs.select(F.col(id_col).alias("id"), *(tokens(F.col(c)).alias(c) for c in columns))
     dl = reduce(lambda a, b: a + b, (F.size(c) for c in columns))
     rows = split.select("id", dl.alias("dl"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("w")) for c in columns))).alias("x")).select("id", "dl", "x.field", "x.w")

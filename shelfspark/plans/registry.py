@@ -33,7 +33,8 @@ def _load() -> None:
     import shelfspark.plans.matches
     import shelfspark.plans.records
     import shelfspark.plans.searches
-    import shelfspark.plans.surgery  # noqa: F401  all register
+    import shelfspark.plans.surgery
+    import shelfspark.plans.tablefunctions  # noqa: F401  all register
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,4 @@
-"""The activity log: throttling, sessions, retention; batch and stream."""
+"""The activity log: throttling of a table, sessions, retention; throttling of a stream is in ``states``."""
 
 from __future__ import annotations
 
@@ -40,25 +40,6 @@ def throttled(events: DataFrame, key: str, window_ms: int, at: str = "ts", id_co
     return rows.mapInPandas(walk, f"{key} long, {id_col} long")
 
 
-def throttled_stream(events: DataFrame, key: str, window_ms: int, at: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """The same over a stream, the last time let through being each key's state."""
-
-    def let_through(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([at, id_col])
-        kept = []
-        for t, i in zip(rows[at].astype("int64") // 1_000_000, rows[id_col], strict=True):
-            if last is None or t - last >= window_ms:
-                last = t
-                kept.append(i)
-        if last is not None:
-            state.update((int(last),))
-        yield pd.DataFrame({key: [k[0]] * len(kept), id_col: kept})
-
-    rows = events.select(F.col(key).cast("long").alias(key), F.col(at).cast("timestamp_ntz").alias(at), F.col(id_col).cast("long").alias(id_col))
-    return rows.groupBy(key).applyInPandasWithState(let_through, f"{key} long, {id_col} long", "last long", "append", "NoTimeout")
-
-
 def debounced(events: DataFrame, key: str, gap: str = "2500 milliseconds", at: str = "ts") -> DataFrame:
     """Bursts of events with less than ``gap`` between neighbours: ``start, end, n``."""
     s = F.session_window(at, gap)

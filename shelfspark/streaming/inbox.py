@@ -1,10 +1,7 @@
-"""The inbox: files seen as a stream, stability, outcomes, dead letters."""
+"""The inbox: files seen as a stream, outcomes, dead letters; when files and folders are whole is in ``states``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,29 +17,6 @@ def watched(spark: SparkSession, root: str, per_batch: int = 50) -> DataFrame:
     return files.select(F.col("path").alias("ruta"), file_format(F.col("path")).alias("formato"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("hash"))
 
 
-def stable(sizes: DataFrame, wait_ms: int = 1500, phantom_ms: int = 600_000) -> DataFrame:
-    """``ruta, estado`` from looks ``ruta, t_ms, bytes``: stable after two equal sizes ``wait_ms`` apart, phantom if empty for long."""
-
-    def look(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, last, done = state.get if state.exists else (None, None, False)
-        out = []
-        for t, n in pd.concat(list(batches)).sort_values("t_ms")[["t_ms", "bytes"]].itertuples(index=False):
-            if done:
-                break
-            if last is None or n != last:
-                first, last = int(t), int(n)
-            elif n == 0 and t - first > phantom_ms:
-                done = True
-                out.append((key[0], "fantasma"))
-            elif n > 0 and t - first >= wait_ms:
-                done = True
-                out.append((key[0], "estable"))
-        state.update((first, last, done))
-        yield pd.DataFrame(out, columns=["ruta", "estado"])
-
-    return sizes.groupBy("ruta").applyInPandasWithState(look, "ruta string, estado string", "first long, last long, done boolean", "append", "NoTimeout")
-
-
 def routed(files: DataFrame, archived: DataFrame) -> DataFrame:
     """Files with their ``outcome``: empty ones unreadable, known content duplicate, unknown formats quarantined, the rest new."""
     known = archived.select("hash", F.lit(True).alias("_known")).distinct()

@@ -128,14 +128,9 @@ def test_archives(spark, tmp_path):
     assert {r.ruta: (r.titulo, r.isbn) for r in files.overridden(rows, side, ["titulo", "isbn"]).collect()} == {"x.pdf": ("Forced", None), "y.pdf": ("K", "2")}
 
 
-def test_throttle_in_batch_and_stream(spark, tmp_path):
+def test_throttle_in_batch(spark):
     rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate((0, 5, 9, 16, 18))], "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) as ts")
     assert {r.event_id for r in activity.throttled(rows, "user_id", 8000).collect()} == {0, 2, 4}
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = activity.throttled_stream(stream, "user_id", 8000).writeStream.format("memory").queryName("thr").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.event_id for r in spark.sql("select * from thr").collect()} == {0, 2, 4}
     assert [r.n for r in activity.debounced(rows, "user_id", "6 seconds").orderBy("start").collect()] == [3, 2]
 
 
@@ -149,12 +144,3 @@ def test_inbox(spark, tmp_path):
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.outcome: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("outcome").count().collect()} == {"duplicado": 1, "cuarentena": 1}
-
-
-def test_stability(spark, tmp_path):
-    looks = spark.createDataFrame([("a", 0, 5), ("a", 1000, 9), ("a", 2600, 9), ("b", 0, 0), ("b", 700_000, 0), ("c", 0, 1)], "ruta string, t_ms long, bytes long")
-    looks.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(looks.schema).parquet(str(tmp_path / "in"))
-    q = inbox.stable(stream).writeStream.format("memory").queryName("stab").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.ruta: r.estado for r in spark.sql("select * from stab").collect()} == {"a": "estable", "b": "fantasma"}
