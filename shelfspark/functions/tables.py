@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from shelfspark.functions.blocks import parse_cip, valid_isbn
 from shelfspark.functions.identifiers import ROLES, VOLUME_LABELS, WHOLE_WORK
@@ -36,7 +37,7 @@ def role_of(label: str) -> tuple[str, int | None]:
     return next((role for role, known in ROLES.items() if any(x in said for x in known)), "desconocido"), None
 
 
-@udtf(returnType="isbn string, role string, number int, label string")
+@udtf(returnType=StructType([StructField("isbn", StringType()), StructField("role", StringType()), StructField("number", IntegerType()), StructField("label", StringType())]))
 class IsbnRows:
     """Each ISBN of a text with a label in parentheses after it; a null text gives no rows."""
 
@@ -51,7 +52,7 @@ class IsbnRows:
                 yield (isbn, *role_of(label), label.strip())
 
 
-@udtf(returnType="kind string, at int, value string, label string")
+@udtf(returnType=StructType([StructField("kind", StringType()), StructField("at", IntegerType()), StructField("value", StringType()), StructField("label", StringType())]))
 class CipRows:
     """Each statement of a cataloguing block: author, title, series, ISBNs, subjects, classes; a text without a block gives no rows."""
 

@@ -60,22 +60,6 @@ def unexpired(rows: DataFrame, at: str, now: Column, ttl: str) -> DataFrame:
     return rows.where(F.col(at) >= now - F.expr(f"interval {ttl}"))
 
 
-def cascade(rows: DataFrame, id_col: str, keys: list[tuple[str, str]]) -> DataFrame:
-    """``id, target, outcome``: an earlier row that shares the first key that any earlier row shares, or itself.
-
-    Each key's first row comes from an aggregate and a join, so a key that a third of the rows share needs no sort.
-    """
-    out = rows
-    for i, (k, _) in enumerate(keys):
-        first = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(id_col).alias(f"_f{i}"))
-        out = out.join(first, k, "left")
-    target, outcome = F.col(id_col), F.lit("insercion")
-    for i, (_, name) in reversed(list(enumerate(keys))):
-        earlier = F.col(f"_f{i}") < F.col(id_col)
-        target, outcome = F.when(earlier, F.col(f"_f{i}")).otherwise(target), F.when(earlier, F.lit(name)).otherwise(outcome)
-    return out.select(id_col, target.alias("target"), outcome.alias("outcome"))
-
-
 def differences(base: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key, field, current, incoming`` where trimmed lower-case values differ and something comes in."""
     rows = base.select(key, *columns).join(incoming.select(key, *(F.col(c).alias(f"_{c}") for c in columns)), key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from shelfspark.functions.names import split_authors
 from shelfspark.model import ACCENTED, folded
@@ -35,7 +36,7 @@ def _key(words) -> object:
     return F.array_join(F.array_sort(words), " ")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _best_cut(n: pd.Series, spans: pd.Series) -> pd.Series:
     """The fewest known names that lie end to end over all ``n`` words; the smallest ids among equals, null without any."""
     out = []

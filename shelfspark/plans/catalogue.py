@@ -217,14 +217,6 @@ def series_or_magazine(spark: SparkSession, d: str) -> Row:
     return g.withColumn("kind", F.when((F.col("years") >= 5) & (F.col("n") > 8), "revista").when(F.col("n") == 1, "libro").otherwise("serie"))
 
 
-@query("auto_number_members", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, (select max(l_linenumber) from lineitem) + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as number from lineitem where l_quantity < 3")
-def auto_number_members(spark: SparkSession, d: str) -> Row:
-    rows = table(spark, d, "lineitem")
-    most = rows.agg(F.max("l_linenumber").alias("most"))  # one row
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return rows.where("l_quantity < 3").crossJoin(F.broadcast(most)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("most") + F.row_number().over(w)).cast("long").alias("number"))
-
-
 @query("one_member_collections", "select c_custkey, case when min(o_orderstatus) = 'F' then 'cerrada' when min(o_totalprice) > 100000 then 'cara' else 'otra' end as signal from customer join orders on c_custkey = o_custkey group by 1 having count(*) = 1")
 def one_member_collections(spark: SparkSession, d: str) -> Row:
     g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.min("o_orderstatus").alias("s"), F.min("o_totalprice").alias("p")).where("n = 1")
@@ -403,17 +395,6 @@ def field_differences(spark: SparkSession, d: str) -> Row:
     return differences(base, new, "c_custkey", ["c_mktsegment", "c_name"])
 
 
-@query("identity_cascade", """
-with k as (select doc_id, sha256(text) as h, source || ':' || n_chars as v from documents), m as (select doc_id, h, v, min(doc_id) over (partition by h) as fh, min(doc_id) over (partition by v) as fv from k)
-select doc_id, case when fh < doc_id then fh when fv < doc_id then fv else doc_id end as target, case when fh < doc_id then 'duplicado_exacto' when fv < doc_id then 'actualizacion' else 'insercion' end as outcome from m
-""")
-def identity_cascade(spark: SparkSession, d: str) -> Row:
-    from shelfspark.operators.merge import cascade
-
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.concat("source", F.lit(":"), F.col("n_chars").cast("string")).alias("v"))
-    return cascade(docs, "doc_id", [("h", "duplicado_exacto"), ("v", "actualizacion")])
-
-
 @query("resource_outcome_tally", "select event_type as outcome, strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as batch, count(*) as n from events group by 1, 2")
 def resource_outcome_tally(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("outcome"), F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("batch")).agg(F.count("*").alias("n"))

@@ -30,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _load() -> None:
     import shelfspark.plans.catalogue
     import shelfspark.plans.enrichment
+    import shelfspark.plans.identities
     import shelfspark.plans.library
     import shelfspark.plans.matches
     import shelfspark.plans.records
