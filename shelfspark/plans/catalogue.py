@@ -91,12 +91,6 @@ def filter_substring(spark: SparkSession, d: str) -> Row:
     return table(spark, d, "documents").where(catalog.substring_condition("License", [F.col("text")])).select("doc_id")
 
 
-@query("filter_activity", "select event_id, user_id from events where event_type = 'error' and user_id between 10 and 29 and ts between timestamp '2024-01-01' and timestamp '2024-06-30'")
-def filter_activity(spark: SparkSession, d: str) -> Row:
-    rows = table(spark, d, "events").where("event_type = 'error' and user_id between 10 and 29 and ts between timestamp '2024-01-01' and timestamp '2024-06-30'")
-    return rows.select("event_id", "user_id")
-
-
 @query("filter_stale_side_car", "select o_orderkey from orders o left join (select l_orderkey, max(l_shipdate) as base from lineitem where l_quantity > 45 group by 1) l on o_orderkey = l_orderkey where o_orderdate is not null and (base is null or o_orderdate > base)")
 def filter_stale_side_car(spark: SparkSession, d: str) -> Row:
     base = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("base"))

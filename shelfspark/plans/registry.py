@@ -34,6 +34,7 @@ def _load() -> None:
     import shelfspark.plans.library
     import shelfspark.plans.matches
     import shelfspark.plans.records
+    import shelfspark.plans.reporting
     import shelfspark.plans.searches
     import shelfspark.plans.surgery
     import shelfspark.plans.tablefunctions  # noqa: F401  all register
