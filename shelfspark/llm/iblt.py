@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs (lines, and in long lines runs of sentences) are digested to 64 bits: 48 of a hash and 16 that check
+A text's paragraphs (lines and sentences, and the pieces of long runs without an end) are digested to 64 bits: 48 of a hash and 16 that check
 it.  Each distinct digest goes into one cell of each of three subtables, and a cell holds the XOR of its digests.
 Subtracting one version's cells from another's, by XOR, cancels what both hold.  Peeling then takes cells that hold one
 digest (its check fits, and it belongs into that cell), removes that digest from its other cells and goes on until
@@ -46,16 +46,6 @@ def checked(hashed: Column) -> Column:
     return high.bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit(CHECK)))
 
 
-def digests(text: Column) -> Column:
-    """Sorted distinct digests of a text's paragraphs.
-
-    A paragraph ends at a line break, or inside a line with a sentence whose last letter is one of a to j: lines may be
-    long, and about every second sentence gives pieces that an edit elsewhere in the line leaves alone.
-    """
-    parts = F.split(text, r"(?<=[a-j][.!?])[ \t]+|[\r\n]+")
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: checked(F.xxhash64(p)))))
-
-
 #: White space after a sentence end, with closing quotes or brackets, in scripts that write it, and every line break.
 ENDS = r"\s(?<=[.!?\u2026\u061F\u06D4\u0964\u0965\u0589\u1362][\)\]\"'\u00BB\u201D\u2019]?\s)\s*|[\r\n]+"
 #: Sentence ends of scripts that write no white space after them.
@@ -64,7 +54,7 @@ CLOSE = r"([\u3002\uFF01\uFF1F\uFF61])"
 LONG = 240
 
 
-def whole_digests(text: Column) -> Column:
+def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, which end at every line break and every sentence end."""
 
     def pieces(p: Column) -> Column:

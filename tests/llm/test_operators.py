@@ -9,6 +9,8 @@ from itertools import groupby
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -223,8 +225,36 @@ def test_preference(spark):
     assert len(set(clash.columns)) == len(clash.columns) and clash.first().extra == 2 and clash.first().prompt == ""
 
 
+ENDS = regex.compile(r"\s(?<=[.!?\u2026\u061F\u06D4\u0964\u0965\u0589\u1362][\)\]\"'\u00BB\u201D\u2019]?\s)\s*|[\r\n]+", regex.ASCII)
+
+
 def paragraphs(text):
-    return {p.strip(" ") for p in re.split(r"(?<=[a-j][.!?])[ \t]+|[\r\n]+", text) if p.strip(" ")}
+    """Line and sentence ends of any script; longer runs are cut after words whose hash is a multiple of 8, and after 32 words."""
+    out = set()
+    for p in ENDS.split(re.sub("([\u3002\uFF01\uFF1F\uFF61])", "\\1\n", text)):
+        p = p.strip(" ")
+        if len(p) <= 240:
+            out.add(p)
+            continue
+        words, piece = re.findall(r"\S{1,64}", p, re.ASCII), []
+        for i, w in enumerate(words):
+            piece.append(w)
+            if (i + 1) % 32 == 0 or xxhash.xxh64_intdigest(w, 42) % 8 == 0:
+                out.add(" ".join(piece))
+                piece = []
+        if piece:
+            out.add(" ".join(piece))
+    return out - {""}
+
+
+def test_paragraphs_by_brute_force(spark):
+    """Marks that close a sentence, scripts without white space, long runs, very long words: the digests are those of the plain version."""
+    cyrillic = "Река была тиха. Луна стояла над домом! «Кто там?» Никто не ответил… " * 3
+    odd = [cyrillic, "一。二！三？四", 'He said "no." Then (really!) he left. ' * 9, "word " * 700, "é" * 999, "a.b. c .\td?  e\r\n\r\nf", "x\x0b. y", "." * 300, " ".join(f"w{i}" for i in range(500)), "end.\u2019 next"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, *(t or "" for t in TEXTS)])], "doc_id long, text string").select("text", iblt.digests(F.col("text")).alias("d")).collect()
+    hashed = {p: h for r in rows for p in paragraphs(r.text) for h in [xxhash.xxh64_intdigest(p, 42) & ~0xFFFF]}
+    for r in rows:
+        assert {d & (2**64 - 1) & ~0xFFFF for d in r.d} == {hashed[p] for p in paragraphs(r.text)}, r.text[:60]
 
 
 def test_sketches(spark, nothing):
