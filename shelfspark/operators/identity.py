@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.identifiers import isbn_variants
 from shelfspark.model import absent, natural_key
+from shelfspark.operators.numbers import prefix
 
 
 def identity_key(row: str = "") -> Column:
@@ -110,7 +111,7 @@ def numbered_after(docs: DataFrame, id_col: str = "_id") -> DataFrame:
     """Members of a series without a number, numbered on from its largest number, in order of ids; ``auto`` tells them."""
     n = F.regexp_extract(F.coalesce(F.col("coleccion_numero").cast("string"), F.lit("")), r"^\s*(\d+)", 1).try_cast("long")
     rows = docs.withColumn("_n", n)
-    most = rows.groupBy("coleccion").agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
-    rank = F.row_number().over(Window.partitionBy("coleccion", F.col("_n").isNull()).orderBy(id_col))
-    out = rows.join(most, "coleccion", "left").withColumn("auto", F.col("_n").isNull() & F.col("coleccion").isNotNull())
-    return out.withColumn("coleccion_numero", F.when(F.col("auto"), (F.col("_most") + rank).cast("string")).otherwise(F.col("coleccion_numero"))).select(*docs.columns, "auto")
+    most = rows.where("coleccion is not null").groupBy("coleccion").agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
+    without = prefix(rows.where("_n is null and coleccion is not null").select(F.col(id_col), "coleccion"), "coleccion", [id_col], _k=("sum", F.lit(1).cast("long"))).select(id_col, "_k")
+    out = rows.join(most, "coleccion", "left").join(without, id_col, "left").withColumn("auto", F.col("_k").isNotNull())
+    return out.withColumn("coleccion_numero", F.when(F.col("auto"), (F.col("_most") + F.col("_k")).cast("string")).otherwise(F.col("coleccion_numero"))).select(*docs.columns, "auto")
