@@ -138,12 +138,12 @@ def links(nodes: DataFrame, radius: int = 4, *, small: int = 4096) -> DataFrame:
         raise ValueError("radius must be 0 to 4")
     rows = nodes.select("node", F.explode(block_keys(F.col("node"))).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    few = rows.join(buckets.where(F.col("n") <= small).select("key"), "key")
+    few = rows.join(buckets.where(F.col("n") <= small).select("key").hint("merge"), "key")
     a, b = few.alias("a"), few.alias("b")
     near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= radius
-    out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    out = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    many = saved(rows.join(buckets.where(F.col("n") > small).select("key"), "key").select("node").distinct())
+    many = saved(rows.join(buckets.where(F.col("n") > small).select("key").hint("merge"), "key").select("node").distinct())
     # of an odd radius one side flips one bit more; those of fewer flips are within the radius of all that they meet
     wide, narrow = (radius + 1) // 2, radius // 2
     half = many.select("node", F.posexplode(midpoints(F.col("node"), wide)).alias("pos", "point"))
@@ -190,10 +190,10 @@ def label_components(docs: DataFrame, *, radius: int = 4, k: int = 4, id_col: st
 
 def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """``node, component_id`` of all nodes (``node, least_id``): the least id of the nodes of the same root."""
-    members = saved(roots.join(nodes, "node"))
+    members = saved(roots.join(nodes.hint("merge"), "node"))
     ids = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = salted(members.select("node", "root"), ids, ["root"]).select("node", "component_id")
-    return nodes.join(known, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
+    return nodes.join(known.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
 
 
 #: Of near copies: words of the fingerprint of shingles, and bands and rows of the least hashes that find candidates.

@@ -24,16 +24,18 @@ def salted(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inne
 
     The hot keys, fewer than ``share``, come to the driver and back as literals, so that no other key pays for them.  Null
     keys are no keys: an inner join leaves their rows out, a left join keeps them without a match.  ``counted`` has the
-    same keys as ``rows`` if that isn't a written table.
+    same keys as ``rows`` if that isn't a written table.  ``unique`` grows with the input, so it is never broadcast: Spark
+    judges a table by its compressed size, and several such tables at once don't fit the driver.
     """
     (key,) = keys
+    unique = unique.hint("merge")
     found = hot((rows if counted is None else counted).select(key).dropna(), keys, share).collect()
     if not found:
         return rows.join(unique, keys, how)
     parts = max(r["_parts"] for r in found)
     is_hot = F.coalesce(F.col(key).isin([r[key] for r in found]), F.lit(False))
     left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0))
-    right = unique.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    right = unique.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).hint("merge")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
