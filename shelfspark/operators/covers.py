@@ -1,9 +1,8 @@
 """Images matched to documents by names in which some characters can't be read.
 
 Two names are one work if they are equal, or of one length with unreadable characters (``?``) in at most a quarter of the places
-(one in a short name) where they differ.  A name of n characters with at most w such places, cut into w + 1 segments, has a segment
-that is the same in both; names meet on those segments and are then verified.  Distinct names meet, not files, and names without
-an unreadable character only on their whole text unless the other side has one.
+(one in a short name) where they differ.  Names meet on what is left of them once the places are hidden that either can't read, and
+are then verified.  Distinct names meet, not files.
 """
 
 from __future__ import annotations
@@ -28,26 +27,36 @@ def same_name(a: Column, b: Column) -> Column:
     return (a == b) | ((F.char_length(a) == F.char_length(b)) & F.forall(differ, lambda x: x) & (F.size(differ) <= allowed(F.char_length(a))))
 
 
-def _segments(names: DataFrame) -> DataFrame:
-    """``name, key``: length, place and text of each of a name's segments."""
-    n, w = F.char_length("name"), allowed(F.char_length("name")) + 1
-    start = lambda i: F.floor(i * n / w).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), w - 1), lambda i: F.concat_ws(":", n.cast("string"), i.cast("string"), F.substr("name", start(i) + 1, start(i + 1) - start(i))))
-    return names.select("name", F.explode(cut).alias("key"))
+def _lost(names: DataFrame) -> DataFrame:
+    """``name, n, lost``: a name's length and the places (from 1) of its unreadable characters, comma-joined; none is empty."""
+    at = F.filter(F.sequence(F.lit(1), F.char_length("name")), lambda i: F.substr("name", i, F.lit(1)) == UNREADABLE)
+    return names.select("name", F.char_length("name").alias("n"), F.array_join(at, ",").alias("lost"))
+
+
+def _without(name: Column, places: Column) -> Column:
+    """The name with the places (comma-joined, from 1) taken out of sight."""
+    gone = F.filter(F.split(places, ","), lambda x: x != "")
+    return F.aggregate(gone, name, lambda s, p: F.overlay(s, F.lit(UNREADABLE), p.cast("int"), F.lit(1)))
 
 
 def same_names(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``a, b`` of all pairs of distinct names (``name``) of the two sides that are one work."""
-    a, b = written(a.select("name").where("name <> ''").distinct()), written(b.select("name").where("name <> ''").distinct())
-    unreadable = lambda d: d.where(F.contains("name", F.lit(UNREADABLE)))
-    readable = lambda d: d.where(~F.contains("name", F.lit(UNREADABLE)))
-    equal = a.join(b, "name").select(F.col("name").alias("a"), F.col("name").alias("b"))
+    """``a, b`` of all pairs of distinct names (``name``) of the two sides that are one work.
+
+    Two names fit if they are the same once the places that either can't read are hidden in both.  So a name is written
+    once for each distinct set of places of the other side's names of its length, and names meet on what is left in
+    sight: only pairs that fit, or fit but for the number of places, meet at all.
+    """
+    a, b = written(_lost(a.select("name").where("name <> ''").distinct())), written(_lost(b.select("name").where("name <> ''").distinct()))
 
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        both = _segments(x).withColumnRenamed("name", "a").join(_segments(y).withColumnRenamed("name", "b"), "key").where("a <> b")
-        return both.where(same_name(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    def seen(x: DataFrame, y: DataFrame, own: str, mine: str, other: str) -> DataFrame:
+        """``own, n, mine, other, sight``: each name of ``x`` with each set of places of ``y``."""
+        sets = y.select("n", F.col("lost").alias(other)).distinct()
+        return x.withColumnsRenamed({"name": own, "lost": mine}).join(sets, "n").withColumn("sight", _without(F.col(own), F.col(other)))
 
-    return equal.unionByName(met(unreadable(a), b)).unionByName(met(readable(a), unreadable(b)))
+    hide = lambda d, places: d.withColumn("sight", _without(F.col("sight"), F.col(places)))
+    left, right = hide(seen(a, b, "a", "_la", "_lb"), "_la"), hide(seen(b, a, "b", "_lb", "_la"), "_lb")
+    met = left.join(right.select("b", "_la", "_lb", "sight"), ["_la", "_lb", "sight"])
+    return met.where(same_name(F.col("a"), F.col("b"))).select("a", "b")
 
 
 def matched(images: DataFrame, docs: DataFrame) -> DataFrame:
