@@ -138,18 +138,19 @@ def links(nodes: DataFrame, radius: int = 4, *, small: int = 4096) -> DataFrame:
         raise ValueError("radius must be 0 to 4")
     rows = nodes.select("node", F.explode(block_keys(F.col("node"))).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    few = rows.join(buckets.where(F.col("n") <= small).select("key").hint("merge"), "key")
+    met = saved(rows.join(buckets.hint("merge"), "key"))
+    few = met.where(F.col("n") <= small)
     a, b = few.alias("a"), few.alias("b")
     near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= radius
     out = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    many = saved(rows.join(buckets.where(F.col("n") > small).select("key").hint("merge"), "key").select("node").distinct())
+    many = saved(met.where(F.col("n") > small).select("node").distinct())
     # of an odd radius one side flips one bit more; those of fewer flips are within the radius of all that they meet
     wide, narrow = (radius + 1) // 2, radius // 2
     half = many.select("node", F.posexplode(midpoints(F.col("node"), wide)).alias("pos", "point"))
     inner = F.col("pos") < (1, 65, 1 + 64 + 64 * 63 // 2)[narrow]
-    met = half.select("node", F.min(F.when(inner, F.col("node"))).over(Window.partitionBy("point")).alias("u")).where("u <> node").distinct()
-    return out.unionAll(met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))).distinct()
+    point = half.select("node", F.min(F.when(inner, F.col("node"))).over(Window.partitionBy("point")).alias("u")).where("u <> node").distinct()
+    return out.unionAll(point.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -351,15 +352,27 @@ def _dense(left: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float,
     return many.groupBy("key", "i", "j").applyInPandas(span, "u binary, v binary")
 
 
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` (u < v) of ``node, fp``: the least node of a fingerprint with its others, and with that of a linked one."""
+    hubs = saved(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
+    same = salted(nodes, hubs, ["fp"]).where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    found = saved(links(hubs.select(F.col("fp").alias("node"))))
+    side = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"_{c}"))
+    near = salted(salted(found, side("u"), ["u"]), side("v"), ["v"], counted=found)
+    return same.unionAll(near.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+
+
 def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` (with long ``_id``, unique long ``_row``, string ``_text``) written with ``_node``, and ``node, component_id`` of all nodes.
 
     Texts of equal shingles are one node, named by 128 bits of a hash of those; the least ``_id`` names a component.
-    Candidates share a band of least hashes, whatever the edit looks like: of pairs at 0.8, all but 7 in 100,000 share
+    Candidates are what SimHash links: nodes of one 64-bit fingerprint, and of fingerprints that :func:`links` finds
+    within 4 bits through shared blocks.  A similarity of 0.8 leaves about 10 of 64 bits different, so candidates also
+    share a band of least hashes, whatever the edit looks like: of pairs at 0.8, all but 7 in 100,000 share
     one of 24 bands of 5.  Of their sketches, the 256-bit SimHash fingerprints may then differ in ``radius`` bits, far above
     the 39 expected at 0.8 (deviation 6; 48 for the shortest texts), and as many of the 120 least hashes must agree as
     do at that similarity, less 4.5 deviations.  What passes is decided by the similarity itself, from the texts.
-    Each bucket is first compared with one of its nodes.  Of buckets that this leaves in several components, small ones
+    Each bucket of a band is first compared with one of its nodes.  Of buckets that this leaves in several components, small ones
     are compared pair by pair, and the texts of large ones meet in blocks, which give no more links than texts.
     """
     columns = rows.columns
@@ -376,22 +389,25 @@ def near_nodes(rows: DataFrame, k: int, similar: float, radius: int) -> tuple[Da
             bounds = np.searchsorted(of, np.arange(n + 1)).tolist()
             node = pa.array([xxhash.xxh3_128_digest(g[x:y].tobytes()) for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), node, pa.array([x.tobytes() for x in sketch], pa.binary()), lists], [*columns, "_node", "_sketch", "_keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), node, pa.array(check[:, :8].copy().view(np.int64)[:, 0]), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], [*columns, "_node", "_fp", "_sketch", "_keys"])
 
     schema = rows.schema
-    for c, kind in (("_node", "binary"), ("_sketch", "binary"), ("_keys", "array<bigint>")):
+    for c, kind in (("_node", "binary"), ("_fp", "bigint"), ("_sketch", "binary"), ("_keys", "array<bigint>")):
         schema = T.StructType([*schema, T.StructField(c, T.DataType.fromDDL(kind))])
     prints = saved(rows.mapInArrow(work, schema))
-    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), F.min("_row").alias("_row"), F.min("_sketch").alias("sketch"), F.min("_keys").alias("keys"), F.max(F.octet_length("_text")).alias("size")))
+    nodes = saved(prints.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("least_id"), F.min("_row").alias("_row"), F.min("_fp").alias("fp"), F.min("_sketch").alias("sketch"), F.min("_keys").alias("keys"), F.max(F.octet_length("_text")).alias("size")))
     rows = nodes.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     rows = saved(salted(rows, buckets, ["key"]))
+    by_print = saved(_print_pairs(nodes.select("node", "fp")))
     # the texts of nodes that met others, each from one of its rows
-    met = nodes.select("node", "_row").join(rows.select("node").distinct(), "node", "left_semi").select("_row")
-    texts = saved(prints.select("_row", F.col("_node").alias("node"), F.col("_text").alias("text")).join(met, "_row", "left_semi").drop("_row"))
+    others = rows.select("node").unionAll(by_print.select("u")).unionAll(by_print.select("v")).distinct()
+    met = nodes.select("node", "_row").join(others.hint("merge"), "node", "left_semi").select("_row")
+    texts = saved(prints.select("_row", F.col("_node").alias("node"), F.col("_text").alias("text")).join(met.hint("merge"), "_row", "left_semi").drop("_row"))
 
-    first = saved(alike(rows.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), nodes, texts, similar, k, radius))
-    linked = rows.join(saved(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    to_hubs = rows.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    first = saved(alike(by_print.unionAll(to_hubs).distinct(), nodes, texts, similar, k, radius))
+    linked = rows.join(saved(components(first)).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = linked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = saved(salted(linked.where("node <> hub").drop("hub"), open_, ["key"], counted=rows))
     few = left.where(F.col("n") <= SMALL)
