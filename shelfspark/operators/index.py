@@ -131,10 +131,16 @@ class TextIndex:
         """``term, id, range`` in order; as many as there are ranges, and never changed after the index was built."""
         return [(r["term"], r["id"], r["range"]) for r in self._read("bounds").orderBy("range").collect()] or [("", None, 0)]
 
-    def upsert(self, docs: DataFrame, id_col: str) -> None:
-        """Put ``docs`` in the place of what the index has of their ids."""
+    def upsert(self, docs: DataFrame, id_col: str, gone: DataFrame | None = None) -> None:
+        """Put ``docs`` in the place of what the index has of their ids, and take those of ``gone`` out in the same rewriting.
+
+        An id in both is taken out.
+        """
         rows = docs.where(F.col(id_col).isNotNull())
-        self._replace(rows.select(F.col(id_col).alias("id")).distinct(), postings_of(rows, id_col, list(self.columns)), rows.select(F.col(id_col).alias("id")).distinct())
+        out = None if gone is None else gone.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+        rows = rows if out is None else rows.join(out.withColumnRenamed("id", id_col), id_col, "left_anti")
+        kept = rows.select(F.col(id_col).alias("id")).distinct()
+        self._replace(kept if out is None else kept.unionByName(out), postings_of(rows, id_col, list(self.columns)), kept)
 
     def remove(self, ids: DataFrame, id_col: str) -> None:
         gone = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()

@@ -100,6 +100,5 @@ def index_upkeep(spark: SparkSession, d: str) -> Row:
     """An index after documents were taken out and others changed equals one of the documents as they are now."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     own = index.TextIndex.build(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "doc_id", ["text"])
-    own.upsert(docs.join(labels.where("quality = 0 and not toxic <=> 1"), "doc_id").select("doc_id", F.concat(F.lit("Zzrevised "), F.upper("source")).alias("text")), "doc_id")
-    own.remove(labels.where("toxic = 1"), "doc_id")
+    own.upsert(docs.join(labels.where("quality = 0 and not toxic <=> 1"), "doc_id").select("doc_id", F.concat(F.lit("Zzrevised "), F.upper("source")).alias("text")), "doc_id", gone=labels.where("toxic = 1"))
     return own.search("the zzrevised", exact=True, every=False).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from shelfspark.operators import covers
+from shelfspark.operators.index import TextIndex
 from shelfspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,19 @@ def test_other_spellings_of_more_than_a_hundred_people(spark, tmp_path):
     want = {r[0] for r in con.sql(registry.oracle_sql()["request_other_spelling"]).fetchall()}
     got = [r._id for r in registry.queries()["request_other_spelling"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_changed_and_removed_documents_in_one_rewriting(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common") for i in range(60)], "id long, text string")
+    fresh = spark.createDataFrame([(3, "changed text"), (4, "changed too"), (99, "changed new")], "id long, text string")
+    gone = spark.createDataFrame([(4,), (5,), (5,), (None,), (777,)], "id long")
+    one = TextIndex.build(docs, f"{tmp_path}/one", "id", ["text"])
+    one.upsert(fresh, "id", gone=gone)
+    two = TextIndex.build(docs, f"{tmp_path}/two", "id", ["text"])
+    two.upsert(fresh, "id")
+    two.remove(gone, "id")
+    found = lambda x, q: sorted((r.id, round(r.score, 9)) for r in x.search(q, exact=True).collect())
+    for q in ("changed", "common", "word4"):
+        assert found(one, q) == found(two, q)
+    assert [i for i, _ in found(one, "changed")] == [3, 99] and one.size().first() == two.size().first()
+    assert {r.id for r in one._read("postings").select("id").distinct().collect()} - {None} == {*range(60), 99} - {4, 5}
