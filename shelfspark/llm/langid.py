@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -135,6 +136,14 @@ def learnable(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
 
 
+def share_of(counts: dict[str, int], rows: int) -> Column:
+    """For each value of ``lang`` the share of its rows that a sample of ``rows`` takes.
+
+    The branches stand side by side: one inside the other, some hundred labels would overflow Spark's stack.
+    """
+    return reduce(lambda of, x: of.when(F.col("lang") == x[0], F.lit(rows / x[1])), counts.items(), F).otherwise(0.0)
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400) -> LanguageModel:
     """Fit on labelled rows outside fold 2; rows without an id belong to no fold and are left out.
 
@@ -147,9 +156,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a value of the label
     if not counts:
         return LanguageModel()
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(rows_per_language / n)).otherwise(share)
+    share = share_of(counts, rows_per_language)
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     picked = rows.where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "key", "text")
 
