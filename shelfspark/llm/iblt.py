@@ -34,6 +34,8 @@ from shelfspark.llm.skew import SHARE
 #: Each size of the ladder is four times the one before; the last is beyond what any text can need.
 TRIES = 14
 LEAST_CELLS = 64
+#: If a text has more characters, all are compared in few projections: some dozens, each holding such a row, need too much memory.
+WIDE = 1 << 18
 CHECK = 0xFFFF
 
 
@@ -215,13 +217,13 @@ def _cells(f: Column) -> Column:
     return F.arrays_zip(f["c"], f["k"]).cast("array<struct<c:bigint,k:bigint>>")
 
 
-def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_CELLS, room: int = 16, listable: bool = True) -> DataFrame:
+def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_CELLS, room: int = 16, listable: bool = True, lean: bool = False) -> DataFrame:
     """``rows`` with the fingerprint of distinct digests: ``n`` of them, ``m`` cells a subtable, their places and contents.
 
     ``m`` is the first of a power of two of at least ``room`` times ``n`` (and ``first``), four times it, and so on, from which all
     digests can be listed.  So nearly all digests are alone in a cell and peeling takes one turn or two; room costs
     little, as empty cells are left out.  If not ``listable`` the first size is taken unseen, for rows that keep their
-    digests at hand.
+    digests at hand.  ``lean`` takes few projections, each of which holds a whole row, and more time.
     """
     kind = "struct<ok:boolean,m:bigint,cells:array<struct<c:bigint,k:bigint>>>"
     d = F.col(keys)
@@ -231,6 +233,10 @@ def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_C
         m = _grown(F.col("_m"), t)
         return let(sketch(d, m), lambda cells: F.struct(peeled(cells, m)["ok"].alias("ok"), m.alias("m"), cells.alias("cells")))
 
+    if lean:
+        unseen = F.struct(F.lit(True).alias("ok"), F.col("_m").alias("m"), sketch(d, F.col("_m")).alias("cells"))
+        rows = rows.withColumn("_s", unseen.cast(kind) if not listable else _first_whole(attempt, kind, F.sequence(F.lit(0), F.lit(TRIES - 1))))
+        return rows.withColumn(name, F.struct(F.size(d).alias("n"), F.col("_s.m").alias("m"), F.col("_s.cells.c").alias("c"), F.col("_s.cells.k").alias("k"))).drop("_m", "_s")
     rows = with_cells(rows.withColumn("_mask", F.col("_m") - 1), "_u", _all_places(d), keys).drop("_mask")
     if listable:
         rows = with_peeled(rows, "_p", "_u", "_m")
@@ -241,39 +247,46 @@ def with_fingerprint(rows: DataFrame, name: str, keys: str, first: int = LEAST_C
     return rows.withColumn(name, F.struct(F.size(d).alias("n"), *(x.alias(y) for x, y in zip(seen, "mck", strict=True)))).drop("_m", "_s", "_u_c", "_u_k")
 
 
-def with_likeness(rows: DataFrame, name: str, a: str, b: str, a_keys: str | None = None, b_keys: str | None = None) -> DataFrame:
+def with_likeness(rows: DataFrame, name: str, a: str, b: str, a_keys: str | None = None, b_keys: str | None = None, lean: bool = False) -> DataFrame:
     """``rows`` with the shared digests over all digests of two fingerprints; 1 for two empty ones.
 
     The smaller one is brought to the size of the larger, both are subtracted and the difference is peeled.  If that
     sticks, both are brought to four times the size, and so on.  To bring a fingerprint to another size its digests are
-    listed, unless they are at hand in the column ``a_keys`` or ``b_keys``.
+    listed, unless they are at hand in the column ``a_keys`` or ``b_keys``.  ``lean`` as in :func:`with_fingerprint`.
     """
     kind = "struct<ok:boolean,found:array<bigint>>"
     f, g, size = F.col(a), F.col(b), F.col("_m")
     both = (f["n"] > 0) & (g["n"] > 0)  # nothing is compared if either is empty
     listed = lambda x, keys, when: F.when(when, F.col(keys) if keys else peeled(_cells(x), x["m"])["found"])
     rows = rows.withColumn("_m", F.greatest(f["m"], g["m"]))
-    small = {"_a": both & (f["m"] < size), "_b": both & (g["m"] < size)}
-    for x, side, at_hand in (("_a", a, a_keys), ("_b", b, b_keys)):
-        if at_hand:
-            rows = rows.withColumn(x, F.when(small[x], F.col(at_hand)))
-        else:
-            rows = rows.withColumns({f"_w{i}": F.when(small[x], F.col(side)[i]) for i in "mck"}).withColumnsRenamed({"_wc": "_w_c", "_wk": "_w_k"})
-            rows = with_peeled(rows, x, "_w", "_wm")
-            rows = rows.withColumn(x, F.coalesce(x, listed(F.col(side), None, small[x]))).drop("_wm", "_w_c", "_w_k")
-    # the first two subtables; a digest of a listed side counts as a cell that holds it
-    here = lambda keys: F.concat(F.transform(keys, lambda k: cell_of(k, 0, size)), F.transform(keys, lambda k: cell_of(k, 1, size)))
-    near = lambda x, i, side: F.slice(F.col(side)[i], F.lit(1), F.col(f"{x}_n"))
-    sides = (("_a", a), ("_b", b))
-    rows = rows.withColumns({f"{x}_n": F.size(F.filter(F.col(side)["c"], lambda c: c < 2 * size)) for x, side in sides})
-    rows = rows.withColumns({"_xc": F.when(both, F.concat(*(F.when(small[x], here(F.col(x))).otherwise(near(x, "c", side)) for x, side in sides))), "_xk": F.when(both, F.concat(*(F.when(small[x], F.concat(x, x)).otherwise(near(x, "k", side)) for x, side in sides)))})
-    rows = with_cells(rows, "_x", F.transform("_xc", lambda c, i: F.shiftleft(c, 32).bitwiseOR(i.cast("long"))), "_xk")
-    rows = with_peeled(rows, "_y", "_x", "_m").drop("_xc", "_xk", "_x_c", "_x_k", "_a_n", "_b_n")
-    # what two subtables don't tell
-    at = lambda x, keys: F.when(F.col(keys).isNull(), _cells(x)).otherwise(sketch(F.col(keys), size))
-    more = both & F.col("_y").isNull()
-    rows = rows.withColumn("_x", F.when(more, subtracted(at(f, "_a"), at(g, "_b"))))
-    rows = rows.withColumn("_p", F.when(more, peeled(F.col("_x"), size)))
+    if lean:
+        rows = rows.withColumns({"_a": listed(f, a_keys, both & (f["m"] < size)), "_b": listed(g, b_keys, both & (g["m"] < size))})
+        at = lambda x, keys: F.when(F.col(keys).isNull(), _cells(x)).otherwise(sketch(F.col(keys), size))
+        rows = rows.withColumn("_x", F.when(both, subtracted(at(f, "_a"), at(g, "_b"))))
+        rows = rows.withColumn("_p", F.when(both, peeled(F.col("_x"), size)))
+        rows, more = rows.withColumn("_y", F.lit(None).cast("array<bigint>")), both
+    else:
+        small = {"_a": both & (f["m"] < size), "_b": both & (g["m"] < size)}
+        for x, side, at_hand in (("_a", a, a_keys), ("_b", b, b_keys)):
+            if at_hand:
+                rows = rows.withColumn(x, F.when(small[x], F.col(at_hand)))
+            else:
+                rows = rows.withColumns({f"_w{i}": F.when(small[x], F.col(side)[i]) for i in "mck"}).withColumnsRenamed({"_wc": "_w_c", "_wk": "_w_k"})
+                rows = with_peeled(rows, x, "_w", "_wm")
+                rows = rows.withColumn(x, F.coalesce(x, listed(F.col(side), None, small[x]))).drop("_wm", "_w_c", "_w_k")
+        # the first two subtables; a digest of a listed side counts as a cell that holds it
+        here = lambda keys: F.concat(F.transform(keys, lambda k: cell_of(k, 0, size)), F.transform(keys, lambda k: cell_of(k, 1, size)))
+        near = lambda x, i, side: F.slice(F.col(side)[i], F.lit(1), F.col(f"{x}_n"))
+        sides = (("_a", a), ("_b", b))
+        rows = rows.withColumns({f"{x}_n": F.size(F.filter(F.col(side)["c"], lambda c: c < 2 * size)) for x, side in sides})
+        rows = rows.withColumns({"_xc": F.when(both, F.concat(*(F.when(small[x], here(F.col(x))).otherwise(near(x, "c", side)) for x, side in sides))), "_xk": F.when(both, F.concat(*(F.when(small[x], F.concat(x, x)).otherwise(near(x, "k", side)) for x, side in sides)))})
+        rows = with_cells(rows, "_x", F.transform("_xc", lambda c, i: F.shiftleft(c, 32).bitwiseOR(i.cast("long"))), "_xk")
+        rows = with_peeled(rows, "_y", "_x", "_m").drop("_xc", "_xk", "_x_c", "_x_k", "_a_n", "_b_n")
+        # what two subtables don't tell
+        at = lambda x, keys: F.when(F.col(keys).isNull(), _cells(x)).otherwise(sketch(F.col(keys), size))
+        more = both & F.col("_y").isNull()
+        rows = rows.withColumn("_x", F.when(more, subtracted(at(f, "_a"), at(g, "_b"))))
+        rows = rows.withColumn("_p", F.when(more, peeled(F.col("_x"), size)))
     stuck = more & ~F.col("_p.ok")
     rows = rows.withColumns({"_a": F.when(stuck, F.coalesce("_a", listed(f, a_keys, stuck))), "_b": F.when(stuck, F.coalesce("_b", listed(g, b_keys, stuck)))})
 
@@ -304,11 +317,17 @@ def read(text: Column) -> Column:
 
 
 def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
+    """``doc_id, text, edited, after`` of :func:`_pairs`."""
+    return _pairs(docs, id_col, text_col, digests)[0]
+
+
+def _pairs(docs: DataFrame, id_col: str, text_col: str, digests: Callable[[Column], Column]) -> tuple[DataFrame, bool]:
     """``doc_id, text, edited, after``: every text, its edited form and the fingerprint of the next document.
 
     The edited form has its last quarter of code points replaced by as many first ones of the next document (or all).
     The documents are shuffled once, by id; what a document gives to the one before is its fingerprint and the piece that
     the edited text needs.  An id of more than 1/1024 of all rows is dealt over parts, each of which gets a copy of that.
+    Also whether a text is longer than ``WIDE``, so that rows are too large for many projections.
     """
     spark = docs.sparkSession
     least = F.lit(-(2**63)).cast("long")  # a null id comes first
@@ -316,13 +335,14 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("at", F.coalesce("doc_id", least))
     order = with_next(base.groupBy("at").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("rows")), "at")  # at, n, rows, next_key
-    total = order.agg(F.sum("rows")).first()[0] or 0
+    total, longest = (x or 0 for x in order.agg(F.sum("rows"), F.max("n")).first())
+    lean = longest > WIDE
     heavy = [(r["at"], -(-r["rows"] * SHARE // total)) for r in order.where(F.col("rows") * SHARE > total).where("rows > 1").select("at", "rows").collect()]  # fewer than SHARE ids
     asked = order.select(F.col("next_key").alias("at"), F.col("at").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("need"))
 
     def given(first: DataFrame) -> DataFrame:
         """What the texts ``first`` (one an id) give to the ids before them."""
-        return with_fingerprint(first.withColumn("keys", digests(F.col("text"))), "after", "keys").select(F.col("before").alias("at"), F.expr("substring(text, 1, need)").alias("head"), "after")
+        return with_fingerprint(first.withColumn("keys", digests(F.col("text"))), "after", "keys", lean=lean).select(F.col("before").alias("at"), F.expr("substring(text, 1, need)").alias("head"), "after")
 
     def edited(joined: DataFrame) -> DataFrame:
         n = F.char_length("text")
@@ -332,7 +352,7 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "before", "need", "doc_id")).alias("x")  # all columns, so that both ways share one shuffle
     if not heavy:
         known = base.join(asked, "at")
-        return edited(known.join(given(known.groupBy("at").agg(one).select("x.text", "x.before", "x.need", "x.doc_id")), "at"))
+        return edited(known.join(given(known.groupBy("at").agg(one).select("x.text", "x.before", "x.need", "x.doc_id")), "at")), lean
     parts = F.broadcast(spark.createDataFrame(heavy, "at long, parts int"))
     known = base.join(parts.select("at"), "at", "left_anti").join(asked, "at")
     alone = base.join(parts, "at")
@@ -340,14 +360,14 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     gifts = given(known.groupBy("at").agg(one).select("x.text", "x.before", "x.need").unionByName(firsts))
     dealt = alone.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).drop("parts")
     copies = gifts.join(parts, "at").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return edited(known.join(gifts, "at")).unionByName(edited(dealt.join(copies, ["at", "part"])))
+    return edited(known.join(gifts, "at")).unionByName(edited(dealt.join(copies, ["at", "part"]))), lean
 
 
 def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
     """Fingerprints of every text and its edited form, and the text's likeness to that and to the next document."""
-    rows = edited_pairs(docs, id_col=id_col, text_col=text_col, digests=digests)
+    rows, lean = _pairs(docs, id_col, text_col, digests)
     rows = rows.withColumns({"keys": digests(F.col("text")), "edited_keys": digests(F.col("edited"))})
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "edited_keys", "after")
-    rows = with_fingerprint(with_fingerprint(rows, "own", "keys", listable=False), "other", "edited_keys", listable=False)
-    rows = with_likeness(with_likeness(rows, "near_edited", "own", "other", "keys", "edited_keys"), "near_next", "own", "after", "keys")
+    rows = with_fingerprint(with_fingerprint(rows, "own", "keys", listable=False, lean=lean), "other", "edited_keys", listable=False, lean=lean)
+    rows = with_likeness(with_likeness(rows, "near_edited", "own", "other", "keys", "edited_keys", lean=lean), "near_next", "own", "after", "keys", lean=lean)
     return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), "near_edited", "near_next")

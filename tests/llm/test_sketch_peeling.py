@@ -59,3 +59,13 @@ def test_three_digests_that_look_like_one(spark):
     assert found is None or sorted(found) == sorted(map(signed, three))
     rows = spark.createDataFrame([([signed(k) for k in three],)], "keys array<long>")
     assert iblt.with_fingerprint(rows, "f", "keys", first=m, room=0).first().f.n == 3
+
+
+def test_tables_with_very_long_texts_take_few_projections(spark, monkeypatch):
+    """Both ways give the same rows; a longest text beyond the bound decides."""
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j} of {i % 3}" for j in range(i * 9 % 40))) for i in range(8)], "doc_id long, text string")
+    assert "_xk" in iblt.compare_next(docs)._jdf.queryExecution().analyzed().toString()
+    fast = sorted(map(tuple, iblt.compare_next(docs).collect()))
+    monkeypatch.setattr(iblt, "WIDE", 100)
+    few = iblt.compare_next(docs)
+    assert "_xk" not in few._jdf.queryExecution().analyzed().toString() and sorted(map(tuple, few.collect())) == fast
